@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the catalogue."""
 
-from . import basics, aggregate_queries, window_queries  # noqa: F401
+from . import basics, aggregate_queries, window_queries, statistic_queries, insight_queries  # noqa: F401
 from .catalog import CATALOG
 
 __all__ = ["CATALOG"]
