@@ -1,6 +1,13 @@
 """All registered queries; importing this package fills the catalogue."""
 
-from . import basics, aggregate_queries, window_queries, statistic_queries, insight_queries  # noqa: F401
+from . import (  # noqa: F401
+    aggregate_queries,
+    basics,
+    insight_queries,
+    planning_queries,
+    statistic_queries,
+    window_queries,
+)
 from .catalog import CATALOG
 
 __all__ = ["CATALOG"]
