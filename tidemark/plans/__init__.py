@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     aggregate_queries,
     basics,
     insight_queries,
+    model_queries,
     planning_queries,
     statistic_queries,
     window_queries,
