@@ -85,3 +85,45 @@ def solve_least_squares(moments: DataFrame, keys: list[str], use: str | None = N
     """(keys, coef, stderr, rss, n); ``use`` names an array column of regressor positions."""
     fit = _solve_subset("moments", "n", use) if use else _solve("moments", "n")
     return moments.select(*keys, fit.alias("fit")).select(*keys, "fit.*")
+
+
+# Columns a path starts from: model, newest-first values and residuals, level and slope.
+AR_STATE = ["coef", "p", "d", "q", "recent", "shocks", "value", "slope"]
+
+
+def recursive_path(coef, p, d, q, recent, shocks, level, slope, steps) -> list[float]:
+    """Levels of one series for ``steps`` days, predictions fed back as lags.
+
+    Future residuals are zero; the differenced predictions are summed up ``d`` times.
+    """
+    constant, rest = (coef[0], list(coef[1:])) if d == 0 else (0.0, list(coef))
+    phi, theta = rest[:p], rest[p : p + q]
+    values, residuals, out = list(recent), list(shocks), []
+    for _ in range(steps):
+        following = constant + sum(a * b for a, b in zip(phi, values))
+        following += sum(a * b for a, b in zip(theta, residuals))
+        values = [following, *values[:-1]]
+        residuals = [0.0, *residuals[:-1]]
+        if d == 2:
+            slope += following
+            level += slope
+        else:
+            level = following if d == 0 else level + following
+        out.append(float(level))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def ar_path(
+    coef: pd.Series,
+    p: pd.Series,
+    d: pd.Series,
+    q: pd.Series,
+    recent: pd.Series,
+    shocks: pd.Series,
+    value: pd.Series,
+    slope: pd.Series,
+    steps: pd.Series,
+) -> pd.Series:
+    rows = zip(coef, p, d, q, recent, shocks, value, slope, steps)
+    return pd.Series([recursive_path(*row) for row in rows])

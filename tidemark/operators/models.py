@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linear import moment_matrices, solve_least_squares
+from ..functions.linear import AR_STATE, ar_path, moment_matrices, solve_least_squares
 from ..session import materialize
 from ..sources.schemas import METRIC_TYPES
 from . import evaluation, forecasting, statistics, windows
@@ -123,49 +123,8 @@ def fit_ar(
     fits = solve_least_squares(tried, [*k2, "p", "q"], "use")
     size = F.size("coef") + 1
     aic = F.col("n") * F.log(F.greatest(F.col("rss") / F.col("n"), F.lit(1e-12))) + 2 * size
-    return fits.select(*keys, *ORDER, "coef", "rss", "n", aic.alias("aic")), design
-
-
-def _running(values: Column, start: Column) -> Column:
-    """Running sums of an array, starting from ``start``."""
-    state = F.struct(F.array().cast("array<double>").alias("out"), start.cast("double").alias("last"))
-    step = lambda s, x: F.struct(
-        F.concat(s["out"], F.array(s["last"] + x)).alias("out"), (s["last"] + x).alias("last")
-    )
-    return F.aggregate(values, state, step)["out"]
-
-
-def _recurrence(horizon: Column | int) -> Column:
-    """Predicted levels of one series as an array, by feeding predictions back as lags.
-
-    Needs the columns coef, p, d, q, lags (newest first), residuals (newest first),
-    value and slope of the row the forecast starts from.
-    """
-    offset = F.when(F.col("d") == 0, 1).otherwise(0)
-    constant = F.when(F.col("d") == 0, F.col("coef")[0]).otherwise(0.0)
-    phi = F.slice("coef", offset + 1, F.col("p"))
-    theta = F.slice("coef", offset + F.col("p") + 1, F.col("q"))
-    start = F.struct(
-        F.col("recent").alias("ws"),
-        F.col("shocks").alias("es"),
-        F.array().cast("array<double>").alias("out"),
-    )
-
-    def step(s: Column, _: Column) -> Column:
-        following = (
-            constant + dot(phi, F.slice(s["ws"], 1, F.col("p"))) + dot(theta, F.slice(s["es"], 1, F.col("q")))
-        )
-        return F.struct(
-            F.slice(F.concat(F.array(following), s["ws"]), 1, F.size(s["ws"])).alias("ws"),
-            F.slice(F.concat(F.array(F.lit(0.0)), s["es"]), 1, F.size(s["es"])).alias("es"),
-            F.concat(s["out"], F.array(following)).alias("out"),
-        )
-
-    h = F.lit(horizon) if isinstance(horizon, int) else horizon
-    raw = F.aggregate(F.sequence(F.lit(1), h.cast("int")), start, step)["out"]
-    once = _running(raw, F.col("value"))
-    twice = _running(_running(raw, F.col("slope")), F.col("value"))
-    return F.when(F.col("d") == 0, raw).when(F.col("d") == 1, once).otherwise(twice)
+    fits = fits.select(*keys, *ORDER, "coef", "rss", "n", aic.alias("aic"))
+    return materialize(fits, "ar-fits"), design
 
 
 def _forecast(fits: DataFrame, design: DataFrame, keys: list[str], origin: Column, horizon) -> DataFrame:
@@ -183,7 +142,11 @@ def _forecast(fits: DataFrame, design: DataFrame, keys: list[str], origin: Colum
             "shocks"
         ),
     )
-    paths = fits.join(state, [*keys, "d"]).withColumn("path", _recurrence(horizon))
+    # Few rows, much work per row: spread them over the cores before the recurrence.
+    cores = fits.sparkSession.sparkContext.defaultParallelism
+    spread = fits.join(state, [*keys, "d"]).repartition(cores, *keys, *ORDER)
+    steps = F.lit(horizon) if isinstance(horizon, int) else horizon
+    paths = spread.withColumn("path", ar_path(*AR_STATE, steps.cast("int")))
     return paths.select(
         *keys, *ORDER, "start", "last_date", F.posexplode("path").alias("at", "predicted")
     ).withColumn("step", F.col("at") + 1)

@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     model_queries,
     planning_queries,
     statistic_queries,
+    stream_queries,
     window_queries,
 )
 from .catalog import CATALOG
