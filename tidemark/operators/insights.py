@@ -415,6 +415,7 @@ def select_behaviour(df: DataFrame, include_holidays: bool = True, include_weeke
 def size_scale(df: DataFrame, c: Column | str, low: float = 10.0, high: float = 40.0) -> DataFrame:
     """Marker size between ``low`` and ``high``; 15 for every row of a constant column."""
     value = col(c)
-    least, most = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
+    span = df.agg(F.struct(F.min(value).alias("least"), F.max(value).alias("most"))).scalar()
+    least, most = span["least"], span["most"]
     size = ratio(value - least, most - least) * (high - low) + low
     return df.withColumn("marker_size", F.when(most > least, size).otherwise(15.0))

@@ -25,25 +25,19 @@ def corr_matrix(df: DataFrame, cols: list[str] = NUMERIC) -> DataFrame:
 
 
 def rank_columns(df: DataFrame, cols: list[str], **sizes: int) -> DataFrame:
-    """The columns replaced by their average ranks, ``n_rows`` kept for centring.
+    """The columns replaced by their average ranks among the complete rows.
 
-    Ranks come from value counts joined back on the value. The rank tables of columns
-    with few values are small enough to be broadcast by their written size; for the
-    others the join is a shuffle on the value, and AQE splits a value that is too hot.
+    Ranks come from value counts joined back on the value. Each column's rank table is
+    written on its own, so its size is known: a column of few values is broadcast, and
+    only the others shuffle by value, where AQE splits a value that is too hot.
     """
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna("any")
     positions = value_positions(complete, [], cols, **sizes)
-    ranks = materialize(
-        positions.select("column", "value", (F.col("below") + (F.col("n") + 1) / 2).alias("rank")),
-        "value-ranks",
-        partition_by=["column"],
-    )
     out = complete
     for c in cols:
-        table = ranks.filter(F.col("column") == c).select(
-            F.col("value").alias(c), F.col("rank").alias(f"rank_{c}")
-        )
-        out = out.join(table, c)
+        rank = (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}")
+        table = positions.filter(F.col("column") == c).select(F.col("value").alias(c), rank)
+        out = out.join(materialize(table, "value-ranks"), c)
     return out.select(*[F.col(f"rank_{c}").alias(c) for c in cols])
 
 

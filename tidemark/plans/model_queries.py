@@ -9,7 +9,7 @@ from .catalog import query
 
 
 def series(t):
-    return evaluation.long_series(t.region_daily)
+    return evaluation.long_series(t.daily_series)
 
 
 @query("m_3_fit_ar", "region metric_type p:i d:i q:i coefficients aic:f rmse:f mae:f mape:f")
@@ -34,13 +34,13 @@ def _(t):
 
 @query("m_6_fit_gbt", "region metric_type rmse:f mae:f mape:f r2:f n:i")
 def _(t):
-    return models.fit_gbt(t.region_daily_mean, "cpu")[1]
+    return models.fit_gbt(t.daily_series_mean, "cpu")[1]
 
 
 @query("m_7_forecast_gbt", FORECAST)
 def _(t):
-    model, _, regions = models.fit_gbt(t.region_daily_mean, "cpu", models.TREE_GRID[:1])
-    return models.forecast_gbt(t.region_daily_mean, model, "cpu", regions)
+    model, _, regions = models.fit_gbt(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
+    return models.forecast_gbt(t.daily_series_mean, model, "cpu", regions)
 
 
 @query("m_8_fit_window_linear", "region metric_type steps:i rmse:f mae:f mape:f")
@@ -68,7 +68,7 @@ def _(t):
 
 
 def cpu_importance(t):
-    model, _, regions = models.fit_gbt(t.region_daily_mean, "cpu", models.TREE_GRID[:1])
+    model, _, regions = models.fit_gbt(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
     return models.feature_importance(model, "cpu", regions, t.spark)
 
 
@@ -84,10 +84,10 @@ def _(t):
 
 @query("m_20_select_best_fitted", "region metric_type model_type rmse:f mae:f mape:f")
 def _(t):
-    trained = models.train_all(t.region_daily_mean, "cpu", models.TREE_GRID[:1])
+    trained = models.train_all(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
     return evaluation.select_best(trained["scores"])
 
 
 @query("m_21_future_users", "region metric_type model_type step:i date predicted:f")
 def _(t):
-    return models.future_metric(t.region_daily, "users", 30, models.TREE_GRID[:1])
+    return models.future_metric(t.daily_series, "users", 30, models.TREE_GRID[:1])

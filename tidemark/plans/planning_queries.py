@@ -78,7 +78,7 @@ def _(t):
 
 
 def long_series(t):
-    return evaluation.long_series(t.region_daily)
+    return evaluation.long_series(t.daily_series)
 
 
 def baseline(t):
@@ -463,7 +463,7 @@ JOIN (SELECT region, max(model_type) FILTER (WHERE metric_type = 'cpu') AS cpu_m
 
 
 def accuracy(t):
-    return monitoring.simulated_accuracy(t.region_daily, evaluation.best_models(t.registry))
+    return monitoring.simulated_accuracy(t.daily_series, evaluation.best_models(t.registry))
 
 
 @query(
@@ -509,7 +509,7 @@ LAST_WEEK_SQL = """SELECT *, CASE WHEN accuracy >= 85 THEN 'healthy' WHEN accura
     LAST_WEEK_SQL,
 )
 def _(t):
-    return monitoring.accuracy_last_days(t.predictions)
+    return monitoring.accuracy_last_days(t.kept_predictions)
 
 
 @query(
@@ -518,11 +518,11 @@ def _(t):
     f"SELECT region, model_type, metric_type, accuracy, 85 AS threshold, accuracy < 85 AS needs_retraining FROM ({LAST_WEEK_SQL})",
 )
 def _(t):
-    return monitoring.drift_flag(monitoring.accuracy_last_days(t.predictions))
+    return monitoring.drift_flag(monitoring.accuracy_last_days(t.kept_predictions))
 
 
 def plan(t, **options):
-    return capacity.capacity_plan(baseline(t), t.region_daily, **options)
+    return capacity.capacity_plan(baseline(t), t.daily_series, **options)
 
 
 @query(
@@ -563,7 +563,7 @@ UNION ALL SELECT region, step, date, 'Users', users + buffer FROM paired
 UNION ALL SELECT region, step, date, 'Storage', cpu * (rc / (rc + ru)) * 20 + users * (ru / (rc + ru)) * 0.1 FROM paired""",
 )
 def _(t):
-    return capacity.demand_to_capacity(baseline(t), t.region_daily)
+    return capacity.demand_to_capacity(baseline(t), t.daily_series)
 
 
 @query(
@@ -580,7 +580,7 @@ PLAN = "region service current_capacity:f max_demand:f avg_demand:f min_demand:f
 
 def _joined(t):
     return joins.capacity_join(
-        capacity.demand_stats(baseline(t)), capacity.current_capacity(t.region_daily)
+        capacity.demand_stats(baseline(t)), capacity.current_capacity(t.daily_series)
     )
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, evaluation, joins
+from ..session import materialize
 from . import readers
 
 
 class Tables:
-    """Lazy DataFrames over one data folder; nothing is cached or collected."""
+    """DataFrames over one data folder.
+
+    They are lazy but for the regional daily series and the score log. These hold one row
+    per region and day, or per model and quarter; they are written once and feed every
+    operator that would otherwise scan the fact several times.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -92,6 +98,14 @@ class Tables:
     def region_daily_mean(self) -> DataFrame:
         return aggregates.region_daily(self.fact, users_agg="mean")
 
+    @cached_property
+    def daily_series(self) -> DataFrame:
+        return materialize(self.region_daily, "region-daily")
+
+    @cached_property
+    def daily_series_mean(self) -> DataFrame:
+        return materialize(self.region_daily_mean, "region-daily-mean")
+
     @cached_property
     def daily(self) -> DataFrame:
         """Daily means of the five numeric columns over all regions."""
@@ -102,10 +116,15 @@ class Tables:
         """One-step predictions of the baseline models against the actual values."""
         return evaluation.baseline_predictions(self.region_daily)
 
+    @cached_property
+    def kept_predictions(self) -> DataFrame:
+        """The same over the written daily series, for operators that read it twice."""
+        return evaluation.baseline_predictions(self.daily_series)
+
     @cached_property
     def registry(self) -> DataFrame:
         """Model performance log: every baseline scored once per calendar quarter."""
-        return evaluation.quarterly_scores(self.predictions)
+        return materialize(evaluation.quarterly_scores(self.predictions), "model-performance")
 
     @cached_property
     def monitoring(self) -> DataFrame:
