@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import col, ratio
@@ -23,24 +23,62 @@ def correlation(x: Column | str, y: Column | str) -> Column:
 
 
 def correlation_table(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(keys, row, column, correlation, n) for all ordered pairs, from one aggregation."""
+    """(keys, row, column, correlation, n) for all ordered pairs, from one pass over the data.
+
+    Rows are grouped by which columns they know, so each group needs plain moments only:
+    one per column and one per pair. A pair then merges the few groups that know both.
+    """
     keys = keys or []
     pairs = list(combinations(cols, 2))
-    known = lambda a, b: F.count(F.when(F.col(b).isNotNull(), F.col(a)))
-    aggs = [correlation(a, b).alias(f"r_{a}_{b}") for a, b in pairs]
-    aggs += [known(a, b).alias(f"n_{a}_{b}") for a, b in pairs]
-    aggs += [F.stddev_pop(c).alias(f"s_{c}") for c in cols] + [F.count(c).alias(f"n_{c}") for c in cols]
-    wide = df.groupBy(*keys).agg(*aggs)
+    mask = sum(
+        (F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0)
+    )
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols], mask.alias("known"))
+    groups = rows.groupBy(*keys, "known").agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"m_{c}") for c in cols],
+        *[F.var_pop(c).alias(f"c_{c}_{c}") for c in cols],
+        *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
+    )
 
     def entry(a: str, b: str) -> Column:
-        if a == b:
-            r, n = F.when(F.col(f"s_{a}") > 0, F.lit(1.0)), F.col(f"n_{a}")
-        else:
-            x, y = (a, b) if (a, b) in pairs else (b, a)
-            r, n = F.col(f"r_{x}_{y}"), F.col(f"n_{x}_{y}")
+        x, y = (a, b) if (a, b) in pairs or a == b else (b, a)
+        bits = (1 << cols.index(a)) | (1 << cols.index(b))
+        both = F.col("known").bitwiseAND(F.lit(bits)) == bits
+        part = lambda c: F.when(both, F.col(c)).otherwise(0.0)
         return F.struct(
-            F.lit(a).alias("row"), F.lit(b).alias("column"), r.alias("correlation"), n.alias("n")
+            F.lit(a).alias("row"),
+            F.lit(b).alias("column"),
+            F.when(both, F.col("n")).otherwise(0).alias("n"),
+            part(f"m_{a}").alias("mx"),
+            part(f"m_{b}").alias("my"),
+            part(f"c_{a}_{a}").alias("vx"),
+            part(f"c_{b}_{b}").alias("vy"),
+            part(f"c_{x}_{y}").alias("vxy"),
         )
 
-    entries = F.array(*[entry(a, b) for a in cols for b in cols])
-    return wide.select(*keys, F.inline(entries))
+    parts = groups.select(*keys, F.inline(F.array(*[entry(a, b) for a in cols for b in cols])))
+    # At most 2 ** len(cols) parts per pair: their common means centre the merge.
+    pair = Window.partitionBy(*keys, "row", "column")
+    total = F.sum("n").over(pair)
+    mean = lambda c: ratio(F.sum(F.col("n") * F.col(c)).over(pair), total)
+    centred = parts.withColumns({"ax": mean("mx"), "ay": mean("my")}).withColumns(
+        {"dx": F.col("mx") - F.col("ax"), "dy": F.col("my") - F.col("ay")}
+    )
+    n = F.col("n")
+    merged = centred.groupBy(*keys, "row", "column").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * (F.col("vx") + F.col("dx") * F.col("dx"))).alias("sxx"),
+        F.sum(n * (F.col("vy") + F.col("dy") * F.col("dy"))).alias("syy"),
+        F.sum(n * (F.col("vxy") + F.col("dx") * F.col("dy"))).alias("sxy"),
+        F.max("ax").alias("ax"),
+        F.max("ay").alias("ay"),
+    )
+    # A spread below the resolution of the mean is a constant column.
+    varies = lambda s, a: F.col(s) > F.col("n") * F.pow(F.abs(F.col(a)) * 1e-10, F.lit(2))
+    r = F.when(F.col("row") == F.col("column"), 1.0).otherwise(
+        ratio(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    )
+    return merged.select(
+        *keys, "row", "column", F.when(varies("sxx", "ax") & varies("syy", "ay"), r).alias("correlation"), "n"
+    )

@@ -36,6 +36,16 @@ def _bucket(low: str, high: str, fanout: int) -> Column:
     return F.coalesce(F.floor(share * fanout), F.lit(0)).cast("bigint")
 
 
+def _counted(df: DataFrame, keys: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Written value counts, rows and distinct values per group, and the largest of these."""
+    counts = materialize(value_counts(df, keys, cols), "value-counts")
+    totals = counts.groupBy(*keys, "column").agg(
+        F.sum("n").alias("total"), F.count("*").alias("distinct_values")
+    )
+    totals = materialize(totals, "value-totals")
+    return counts, totals, totals.agg(F.max("distinct_values")).first()[0] or 0
+
+
 def value_positions(
     df: DataFrame,
     keys: list[str],
@@ -44,9 +54,13 @@ def value_positions(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """(keys, column, value, n, below): ``below`` counts the smaller entries of the group."""
-    group = [*keys, "column"]
-    counts = materialize(value_counts(df, keys, cols), "value-counts")
-    fullest = counts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    counts, _, fullest = _counted(df, keys, cols)
+    return _positions(counts, [*keys, "column"], fullest, bucket_rows, fanout)
+
+
+def _positions(
+    counts: DataFrame, group: list[str], fullest: int, bucket_rows: int, fanout: int
+) -> DataFrame:
     if fullest <= bucket_rows:
         before = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -94,16 +108,24 @@ def percentiles(
     keys: list[str],
     cols: list[str],
     ps: list[float],
-    **sizes: int,
+    bucket_rows: int = BUCKET_ROWS,
+    fanout: int = FANOUT,
 ) -> DataFrame:
-    """(keys, column, p, quantile): linearly interpolated percentiles, exact."""
+    """(keys, column, p, quantile): linearly interpolated percentiles, exact.
+
+    Where every group has few enough distinct values the built-in percentile merges the
+    counted values in bounded memory; otherwise the covering values are found by position.
+    """
     group = [*keys, "column"]
-    positions = value_positions(df, keys, cols, **sizes)
-    totals = positions.groupBy(*group).agg(F.sum("n").alias("total"))
-    totals = materialize(totals, "value-totals")
-    target = (F.col("total") - 1) * F.col("p")
-    wanted = totals.select(*group, "total", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
-    wanted = materialize(wanted.select(*group, "p", target.alias("target")), "quantile-targets")
+    counts, totals, fullest = _counted(df, keys, cols)
+    shares = F.array(*[F.lit(float(p)) for p in ps])
+    if fullest <= bucket_rows:
+        merged = counts.groupBy(*group).agg(F.percentile("value", shares, F.col("n")).alias("qs"))
+        pairs = F.arrays_zip(shares.alias("p"), F.col("qs").alias("quantile"))
+        return merged.select(*group, F.inline(pairs).alias("p", "quantile"))
+    positions = _positions(counts, group, fullest, bucket_rows, fanout)
+    wanted = totals.select(*group, "total", F.explode(shares).alias("p"))
+    wanted = wanted.select(*group, "p", ((F.col("total") - 1) * F.col("p")).alias("target"))
     low, high = F.floor("target"), F.ceil("target")
     covers = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
     hits = positions.join(wanted, group).filter(covers(low) | covers(high))

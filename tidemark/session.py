@@ -20,6 +20,10 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # File sizes are compressed, so plan broadcasts only for clearly small files;
+        # sizes measured at run time may be larger.
+        .config("spark.sql.autoBroadcastJoinThreshold", "2m")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
     )
     if master:
         builder = builder.master(master)
