@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.linear import moment_matrices, recursive_path, solve_least_squares
 from tidemark.functions.moments import correlation_table
-from tidemark.functions.order_stats import percentiles, value_positions
+from tidemark.functions.order_stats import distribution, percentiles, value_positions
 from tidemark.operators import statistics
 
 DAY0 = datetime.date(2024, 1, 1)
@@ -178,3 +178,16 @@ def test_linear_trend_line(spark):
     assert len(rows) == 100
     assert rows[0].slope == pytest.approx(3) and rows[0].intercept == pytest.approx(1)
     assert max(r.y for r in rows) == pytest.approx(28)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 40, "fanout": 8}])
+def test_distribution_in_one_pass(spark, sizes):
+    df, pdf = skewed(spark, 900)
+    rows = {r.key: r for r in distribution(df, ["key"], ["value"], {"q50": 0.5}, **sizes).collect()}
+    for key, group in pdf.groupby("key"):
+        r, v = rows[key], group["value"]
+        assert (r["count"], r["min"], r["max"]) == (len(v), v.min(), v.max())
+        assert r["mean"] == pytest.approx(v.mean()) and r["std"] == pytest.approx(v.std())
+        assert r["q50"] == pytest.approx(v.median())
+    one = distribution(df.limit(1), ["key"], ["value"], {"q50": 0.5}).first()
+    assert one["count"] == 1 and one["std"] is None

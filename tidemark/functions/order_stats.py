@@ -40,7 +40,11 @@ def _counted(df: DataFrame, keys: list[str], cols: list[str]) -> tuple[DataFrame
     """Written value counts, rows and distinct values per group, and the largest of these."""
     counts = materialize(value_counts(df, keys, cols), "value-counts")
     totals = counts.groupBy(*keys, "column").agg(
-        F.sum("n").alias("total"), F.count("*").alias("distinct_values")
+        F.sum("n").alias("total"),
+        F.count("*").alias("distinct_values"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
     )
     totals = materialize(totals, "value-totals")
     return counts, totals, totals.agg(F.max("distinct_values")).first()[0] or 0
@@ -116,8 +120,19 @@ def percentiles(
     Where every group has few enough distinct values the built-in percentile merges the
     counted values in bounded memory; otherwise the covering values are found by position.
     """
-    group = [*keys, "column"]
-    counts, totals, fullest = _counted(df, keys, cols)
+    counted = _counted(df, keys, cols)
+    return _quantiles(*counted, [*keys, "column"], ps, bucket_rows, fanout)
+
+
+def _quantiles(
+    counts: DataFrame,
+    totals: DataFrame,
+    fullest: int,
+    group: list[str],
+    ps: list[float],
+    bucket_rows: int,
+    fanout: int,
+) -> DataFrame:
     shares = F.array(*[F.lit(float(p)) for p in ps])
     if fullest <= bucket_rows:
         merged = counts.groupBy(*group).agg(F.percentile("value", shares, F.col("n")).alias("qs"))
@@ -137,11 +152,45 @@ def percentiles(
     return picked.select(*group, "p", value.alias("quantile"))
 
 
+def _named(long: DataFrame, group: list[str], named: dict[str, float]) -> DataFrame:
+    return long.groupBy(*group).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in named.items()]
+    )
+
+
 def quantile_table(
     df: DataFrame, keys: list[str], cols: list[str], named: dict[str, float], **sizes: int
 ) -> DataFrame:
     """(keys, column) with one column per named percentile."""
-    long = percentiles(df, keys, cols, list(named.values()), **sizes)
-    return long.groupBy(*keys, "column").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in named.items()]
+    return _named(percentiles(df, keys, cols, list(named.values()), **sizes), [*keys, "column"], named)
+
+
+def distribution(
+    df: DataFrame,
+    keys: list[str],
+    cols: list[str],
+    named: dict[str, float],
+    bucket_rows: int = BUCKET_ROWS,
+    fanout: int = FANOUT,
+) -> DataFrame:
+    """(keys, column, count, mean, std, min, max, named percentiles) from one pass over the data.
+
+    Everything is derived from the written value counts.
+    """
+    group = [*keys, "column"]
+    counts, totals, fullest = _counted(df, keys, cols)
+    diff = F.col("value") - F.col("mean")
+    spread = (
+        counts.join(totals, group)
+        .groupBy(*group)
+        .agg(F.sum(F.col("n") * diff * diff).alias("ss"))
+    )
+    long = _quantiles(counts, totals, fullest, group, list(named.values()), bucket_rows, fanout)
+    std = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - 1).cast("double"))))
+    basic = totals.select(*group, F.col("total").alias("count"), "mean", "min", "max")
+    return (
+        basic.join(spread, group)
+        .join(_named(long, group, named), group)
+        .withColumn("std", std)
+        .drop("ss")
     )

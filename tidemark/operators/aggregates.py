@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_name, means, month_name, ratio
-from ..functions.order_stats import quantile_table
+from ..functions.order_stats import distribution
 from ..sources.schemas import FACTORS, METRICS, NUMERIC
 from . import filters
 
@@ -227,18 +227,9 @@ def filter_options(df: DataFrame) -> DataFrame:
     )
 
 
-def data_summary(df: DataFrame, cols: list[str] = NUMERIC) -> DataFrame:
+def data_summary(df: DataFrame, cols: list[str] = NUMERIC, **sizes: int) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum, one row per column."""
-    fns = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(
-        *[fn(F.col(c).cast("double")).alias(f"{c}_{name}") for c in cols for name, fn in fns.items()]
-    )
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{n}").alias(n) for n in fns]) for c in cols
-    ]
-    basic = wide.select(F.inline(F.array(*rows)))
-    quartiles = quantile_table(df, [], cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return basic.join(quartiles, "column", "left")
+    return distribution(df, [], cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, **sizes)
 
 
 def dataset_info(df: DataFrame) -> DataFrame:

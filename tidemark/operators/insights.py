@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, col, day_name, ladder, ratio
 from ..functions.moments import correlation
-from ..functions.order_stats import quantile_table
+from ..functions.order_stats import distribution
 from ..sources.schemas import METRICS
 from . import filters, windows
 from .aggregates import daily_means, group_means
@@ -274,11 +274,10 @@ def seasonal_stats(pattern: DataFrame) -> DataFrame:
 
 def holiday_effect(df: DataFrame, metric: str, flag: str = "is_holiday", **sizes: int) -> DataFrame:
     """Quartiles, mean and row count per holiday flag, with the change against regular days."""
-    quartiles = quantile_table(df, [flag], [metric], {"q25": 0.25, "q50": 0.5, "q75": 0.75}, **sizes)
-    basic = df.groupBy(flag).agg(F.avg(metric).alias("mean"), F.count("*").alias("rows"))
-    regular = basic.filter(F.col(flag) == 0).select("mean").scalar()
-    change = ratio(F.col("mean") - regular, regular) * 100
-    return basic.join(quartiles.drop("column"), flag, "left").withColumn("change_pct", change)
+    named = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    out = distribution(df, [flag], [metric], named, **sizes).withColumnRenamed("count", "rows")
+    regular = out.agg(F.max(F.when(F.col(flag) == 0, F.col("mean")))).scalar()
+    return out.withColumn("change_pct", ratio(F.col("mean") - regular, regular) * 100)
 
 
 def dow_profile(df: DataFrame, metric: str) -> DataFrame:
@@ -317,14 +316,8 @@ def user_behaviour(df: DataFrame) -> DataFrame:
 
 def efficiency_distribution(df: DataFrame, **sizes: int) -> DataFrame:
     """Quartiles, extremes and mean of user efficiency per resource type."""
-    basic = df.groupBy("resource_type").agg(
-        F.min("user_efficiency").alias("min"),
-        F.max("user_efficiency").alias("max"),
-        F.avg("user_efficiency").alias("mean"),
-    )
     named = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = quantile_table(df, ["resource_type"], ["user_efficiency"], named, **sizes)
-    return basic.join(quartiles.drop("column"), "resource_type", "left")
+    return distribution(df, ["resource_type"], ["user_efficiency"], named, **sizes)
 
 
 def behaviour_intelligence(df: DataFrame, metric: str = "usage_cpu") -> DataFrame:
