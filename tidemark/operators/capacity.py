@@ -26,6 +26,53 @@ UNKNOWN_CAPACITY = 10000.0
 UNIT_SCALE = 15.0
 FLOOR = 1000.0
 RISK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
+# Peak utilisation in percent from which a message holds, highest first.
+UTILIZATION_MESSAGES = [
+    (95, "Critical capacity shortage imminent"),
+    (85, "High capacity utilization - monitor closely"),
+    (75, "Moderate capacity pressure"),
+    (None, "Adequate capacity available"),
+]
+# Messages of the mean utilisation.
+PROVISION_MESSAGES = {
+    "over": "Potential over-provisioning detected",
+    "under": "Under-provisioning risk",
+    "optimal": "Optimal provisioning level",
+}
+# Fixed values: (type, priority, reason, timeline, impact) of each recommendation.
+RECOMMENDATIONS = {
+    "urgent": (
+        "SCALE_UP",
+        "HIGH",
+        "Peak demand (%.0f) exceeds safe capacity threshold (95%%)",
+        "Immediate (within 1 week)",
+        "Critical - prevents service disruption",
+    ),
+    "soon": (
+        "SCALE_UP",
+        "MEDIUM",
+        "Approaching capacity limits (%.1f%% utilization)",
+        "Within 2 weeks",
+        "Preventive - maintains service quality",
+    ),
+    "shrink": (
+        "OPTIMIZE",
+        "LOW",
+        "Low average utilization (%.1f%%) indicates over-provisioning",
+        "Next quarter review",
+        "Cost savings opportunity",
+    ),
+    "watch": (
+        "MONITOR",
+        "LOW",
+        "Capacity levels are optimal (%.1f%% avg, %.1f%% peak)",
+        "Ongoing monitoring",
+        "Stable operations",
+    ),
+}
+# The action texts around the number of units.
+GROW_ACTION, SHRINK_ACTION = "Add +", "Consider reducing -"
+WATCH_ACTION = "Continue monitoring current capacity"
 
 
 def _static(service: str) -> Column:
@@ -120,12 +167,8 @@ def utilization_risk(plan: DataFrame) -> DataFrame:
         {
             "utilization_risk": ladder([(p >= 95, "HIGH"), (p >= 75, "MEDIUM")], "LOW"),
             "utilization_message": ladder(
-                [
-                    (p >= 95, "Critical capacity shortage imminent"),
-                    (p >= 85, "High capacity utilization - monitor closely"),
-                    (p >= 75, "Moderate capacity pressure"),
-                ],
-                "Adequate capacity available",
+                [(p >= least, text) for least, text in UTILIZATION_MESSAGES[:-1]],
+                UTILIZATION_MESSAGES[-1][1],
             ),
         }
     )
@@ -137,8 +180,8 @@ def provision_risk(plan: DataFrame) -> DataFrame:
         {
             "provision_risk": ladder([(p <= 25, "MEDIUM"), (p >= 80, "HIGH")], "LOW"),
             "provision_message": ladder(
-                [(p <= 25, "Potential over-provisioning detected"), (p >= 80, "Under-provisioning risk")],
-                "Optimal provisioning level",
+                [(p <= 25, PROVISION_MESSAGES["over"]), (p >= 80, PROVISION_MESSAGES["under"])],
+                PROVISION_MESSAGES["optimal"],
             ),
         }
     )
@@ -160,59 +203,25 @@ def recommendations(plan: DataFrame) -> DataFrame:
     add = lambda buffer: whole(F.col("max_demand") * buffer - capacity)
     excess = whole(capacity - F.col("avg_demand") * 1.5)
 
-    def entry(kind: str, priority: str, action: Column, reason: Column, timeline: str, impact: str) -> Column:
+    def entry(name: str, action: Column, *numbers: str) -> Column:
+        kind, priority, reason, timeline, impact = RECOMMENDATIONS[name]
         return F.struct(
             F.lit(kind).alias("type"),
             F.lit(priority).alias("priority"),
             action.alias("action"),
-            reason.alias("reason"),
+            F.format_string(reason, *numbers).alias("reason"),
             F.lit(timeline).alias("timeline"),
             F.lit(impact).alias("impact"),
         )
 
-    grow = lambda n: F.concat(F.lit("Add +"), n.cast("string"), F.lit(" "), unit, F.lit(" units"))
-    scale = F.when(
-        peak >= 95,
-        entry(
-            "SCALE_UP",
-            "HIGH",
-            grow(add(1.25)),
-            F.format_string("Peak demand (%.0f) exceeds safe capacity threshold (95%%)", "max_demand"),
-            "Immediate (within 1 week)",
-            "Critical - prevents service disruption",
-        ),
-    ).when(
-        peak >= 85,
-        entry(
-            "SCALE_UP",
-            "MEDIUM",
-            grow(add(1.15)),
-            F.format_string("Approaching capacity limits (%.1f%% utilization)", "peak_pct"),
-            "Within 2 weeks",
-            "Preventive - maintains service quality",
-        ),
+    units = lambda text, n: F.concat(F.lit(text), n.cast("string"), F.lit(" "), unit, F.lit(" units"))
+    scale = F.when(peak >= 95, entry("urgent", units(GROW_ACTION, add(1.25)), "max_demand")).when(
+        peak >= 85, entry("soon", units(GROW_ACTION, add(1.15)), "peak_pct")
     )
     shrink = F.when(
-        (avg <= 25) & (excess > 0),
-        entry(
-            "OPTIMIZE",
-            "LOW",
-            F.concat(F.lit("Consider reducing -"), excess.cast("string"), F.lit(" "), unit, F.lit(" units")),
-            F.format_string("Low average utilization (%.1f%%) indicates over-provisioning", "avg_pct"),
-            "Next quarter review",
-            "Cost savings opportunity",
-        ),
-    )
-    watch = F.array(
-        entry(
-            "MONITOR",
-            "LOW",
-            F.lit("Continue monitoring current capacity"),
-            F.format_string("Capacity levels are optimal (%.1f%% avg, %.1f%% peak)", "avg_pct", "peak_pct"),
-            "Ongoing monitoring",
-            "Stable operations",
-        )
+        (avg <= 25) & (excess > 0), entry("shrink", units(SHRINK_ACTION, excess), "avg_pct")
     )
+    watch = F.array(entry("watch", F.lit(WATCH_ACTION), "avg_pct", "peak_pct"))
     found = F.array_compact(F.array(scale, shrink))
     listed = plan.withColumn("found", found)
     chosen = F.when(F.size("found") > 0, F.col("found")).otherwise(watch)

@@ -18,6 +18,38 @@ from .aggregates import daily_means, group_means
 
 # Relative cost per unit of each resource type.
 BASE_COSTS = {"VM": 1.0, "Storage": 0.3, "Container": 0.8}
+# Fixed values: (type, message after the resource name, action, priority) of each flag.
+OPTIMIZATION_FLAGS = {
+    "peak": ("Critical", " approaching capacity limits", "Consider scaling up or load balancing", "high"),
+    "idle": ("Efficiency", " is underutilized", "Consider consolidation or downsizing", "medium"),
+    "swings": (
+        "Stability",
+        " shows high variability",
+        "Implement auto-scaling or load smoothing",
+        "medium",
+    ),
+}
+# Fixed values: (type, resource, message, action, priority) when nothing is flagged.
+ALL_CLEAR = (
+    "Optimal",
+    "All Resources",
+    "Resources are operating within optimal ranges",
+    "Continue monitoring for trends",
+    "low",
+)
+# Pattern texts and action items of the behaviour summary.
+PATTERNS = [
+    "Strong seasonal patterns detected",
+    "Significant holiday effects observed",
+    "Strong user-resource correlation",
+]
+ACTIONS = [
+    "Implement behavioral monitoring",
+    "Analyze user engagement patterns",
+    "Consider load balancing strategies",
+    "Continue monitoring seasonal trends",
+    "Plan for holiday capacity changes",
+]
 
 
 def trend_stats(df: DataFrame, metric: str) -> DataFrame:
@@ -202,37 +234,20 @@ def optimization_flags(df: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_samp("usage_cpu"), F.lit(0.0)).alias("volatility"),
     )
     name = F.col("resource_type")
-    entry = lambda kind, text, action, priority: F.struct(
-        F.lit(kind).alias("type"),
-        name.alias("resource"),
-        F.concat(name, F.lit(text)).alias("message"),
-        F.lit(action).alias("action"),
-        F.lit(priority).alias("priority"),
-    )
+    fields = ["type", "resource", "message", "action", "priority"]
+
+    def entry(key: str) -> Column:
+        kind, text, action, priority = OPTIMIZATION_FLAGS[key]
+        parts = [F.lit(kind), name, F.concat(name, F.lit(text)), F.lit(action), F.lit(priority)]
+        return F.struct(*[c.alias(f) for c, f in zip(parts, fields)])
+
     flag = (
-        F.when(
-            F.col("max_cpu") > 90,
-            entry("Critical", " approaching capacity limits", "Consider scaling up or load balancing", "high"),
-        )
-        .when(
-            (F.col("avg_cpu") < 30) & (F.col("volatility") < 10),
-            entry("Efficiency", " is underutilized", "Consider consolidation or downsizing", "medium"),
-        )
-        .when(
-            F.col("volatility") > 25,
-            entry("Stability", " shows high variability", "Implement auto-scaling or load smoothing", "medium"),
-        )
+        F.when(F.col("max_cpu") > 90, entry("peak"))
+        .when((F.col("avg_cpu") < 30) & (F.col("volatility") < 10), entry("idle"))
+        .when(F.col("volatility") > 25, entry("swings"))
     )
     flags = out.select(flag.alias("f")).agg(F.array_compact(F.collect_list("f")).alias("found"))
-    clear = F.array(
-        F.struct(
-            F.lit("Optimal").alias("type"),
-            F.lit("All Resources").alias("resource"),
-            F.lit("Resources are operating within optimal ranges").alias("message"),
-            F.lit("Continue monitoring for trends").alias("action"),
-            F.lit("low").alias("priority"),
-        )
-    )
+    clear = F.array(F.struct(*[F.lit(v).alias(f) for v, f in zip(ALL_CLEAR, fields)]))
     return flags.select(F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(clear)))
 
 
@@ -342,17 +357,17 @@ def behaviour_intelligence(df: DataFrame, metric: str = "usage_cpu") -> DataFram
     insights = F.array(
         noted(
             (F.col("rows") > 12) & (seasonal_var > F.col("total_var") * 0.5),
-            "Strong seasonal patterns detected",
+            PATTERNS[0],
         ),
-        noted(impact > 15, "Significant holiday effects observed"),
-        noted(F.col("users_cpu_corr") > 0.7, "Strong user-resource correlation"),
+        noted(impact > 15, PATTERNS[1]),
+        noted(F.col("users_cpu_corr") > 0.7, PATTERNS[2]),
     )
     actions = F.array(
-        noted(F.col("consistency") < 70, "Implement behavioral monitoring"),
-        noted(F.col("predictability") < 60, "Analyze user engagement patterns"),
-        noted(F.col("peak_to_trough") > 3, "Consider load balancing strategies"),
-        F.lit("Continue monitoring seasonal trends"),
-        F.lit("Plan for holiday capacity changes"),
+        noted(F.col("consistency") < 70, ACTIONS[0]),
+        noted(F.col("predictability") < 60, ACTIONS[1]),
+        noted(F.col("peak_to_trough") > 3, ACTIONS[2]),
+        F.lit(ACTIONS[3]),
+        F.lit(ACTIONS[4]),
     )
     return out.select(
         "users_cpu_corr",
