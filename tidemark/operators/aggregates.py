@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import day_name, means, month_name, ratio
 from ..functions.order_stats import distribution
+from ..session import materialize
 from ..sources.schemas import FACTORS, METRICS, NUMERIC
 from . import filters
 
@@ -147,9 +148,9 @@ def regional_distribution(df: DataFrame) -> DataFrame:
 def regional_share(df: DataFrame, metric: str = "usage_cpu") -> DataFrame:
     """Each region's total and its percentage of the grand total.
 
-    The grand total adds up the regional totals, so both share one pass over the data.
+    The regional totals are written once and add up to the grand total: one pass.
     """
-    totals = df.groupBy("region").agg(F.sum(metric).alias("total"))
+    totals = materialize(df.groupBy("region").agg(F.sum(metric).alias("total")), "region-totals")
     grand = totals.agg(F.sum("total")).scalar()
     return totals.withColumn("share_pct", ratio(F.col("total"), grand) * 100)
 
@@ -310,7 +311,7 @@ def weekly_pattern(df: DataFrame, metric: str) -> DataFrame:
 
 def monthly_pattern(df: DataFrame, metric: str, min_days: int = 30) -> DataFrame:
     """Mean of the daily means per month name; empty unless there are more than 30 days."""
-    daily = df.groupBy("date").agg(F.avg(metric).alias("value"))
+    daily = materialize(df.groupBy("date").agg(F.avg(metric).alias("value")), "daily")
     enough = daily.agg(F.count("*")).scalar() > min_days
     return (
         daily.filter(enough)

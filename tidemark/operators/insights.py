@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, col, day_name, ladder, ratio
 from ..functions.moments import correlation
 from ..functions.order_stats import distribution
+from ..session import materialize
 from ..sources.schemas import METRICS
 from . import filters, windows
 from .aggregates import daily_means, group_means
@@ -80,7 +81,11 @@ def regional_stats(df: DataFrame, metric: str) -> DataFrame:
 
 
 def region_efficiency_score(stats: DataFrame) -> DataFrame:
-    """High average and low volatility relative to the other regions, 0 to 100."""
+    """High average and low volatility relative to the other regions, 0 to 100.
+
+    The statistics are written once, so comparing regions takes no further pass.
+    """
+    stats = materialize(stats, "region-stats")
     best_avg = stats.agg(F.max("avg")).scalar()
     worst_volatility = stats.agg(F.max("volatility")).scalar()
     score = ratio(F.col("avg"), best_avg) * 0.7 + (1 - ratio(F.col("volatility"), worst_volatility)) * 0.3
@@ -90,6 +95,7 @@ def region_efficiency_score(stats: DataFrame) -> DataFrame:
 def radar_normalised(df: DataFrame) -> DataFrame:
     """Regional means (one digit) scaled to 0..100 between regions; 50 where all agree."""
     base = df.groupBy("region").agg(*[F.round(F.avg(m), 1).alias(m) for m in METRICS])
+    base = materialize(base, "region-means")
     scaled = {}
     for m in METRICS:
         low, high = base.agg(F.min(m)).scalar(), base.agg(F.max(m)).scalar()
@@ -100,6 +106,7 @@ def radar_normalised(df: DataFrame) -> DataFrame:
 
 def regional_insights(stats: DataFrame) -> DataFrame:
     """Best and steadiest region, gap between regions, regions of high volatility."""
+    stats = materialize(stats, "region-stats")
     mean_volatility = stats.agg(F.avg("volatility")).scalar()
     volatile = F.when(F.col("volatility") > mean_volatility, F.col("region"))
     out = stats.withColumn("volatile", volatile).agg(

@@ -297,7 +297,7 @@ def fit_window_linear(series: DataFrame, sizes: list[int] | None = None, train:
     )
     vector = F.concat("x", "target")
     moments = moment_matrices(split.filter(F.col("split") == "train"), keys, vector)
-    fit = solve_least_squares(moments, keys)
+    fit = materialize(solve_least_squares(moments, keys), "window-fits")
     bounds = scaled.groupBy(*SERIES).agg(F.max("low").alias("low"), F.max("high").alias("high"))
     test = split.filter(F.col("split") == "test").join(fit.select(*keys, "coef"), keys).join(bounds, SERIES)
     back = lambda c: statistics.minmax_inverse(c, F.col("low"), F.col("high"))
@@ -394,7 +394,7 @@ def fit_gbt(
         return model.transform(test_rows).agg(F.avg(diff * diff)).first()[0], model
 
     with ThreadPool(parallelism) as pool:
-        tried = pool.map(inheritable_thread_target(attempt), grid or TREE_GRID)
+        tried = pool.map(inheritable_thread_target(rows.sparkSession)(attempt), grid or TREE_GRID)
     model = min(tried, key=lambda pair: pair[0])[1]
     scored = model.transform(test_rows).withColumnsRenamed(
         {"target": "actual_value", "prediction": "predicted_value"}

@@ -107,14 +107,15 @@ def corr_by(
 ) -> DataFrame:
     """Pearson matrices of the first ``groups`` groups that have more than ``min_rows`` rows.
 
-    Showing at most six groups is part of the report this feeds.
+    All groups are correlated in one pass; showing six of them is part of the report this
+    feeds. A group counts as many rows as its best-filled column.
     """
     name = "group"
     keyed = df.withColumn(name, key if isinstance(key, Column) else F.col(key))
-    first = keyed.select(name).distinct().orderBy(name).limit(groups)
-    kept = keyed.join(F.broadcast(first), name)
-    sizes = kept.groupBy(name).count().filter(F.col("count") > min_rows).select(name)
-    return correlation_table(kept, cols, [name]).join(sizes, name)
+    table = materialize(correlation_table(keyed, cols, [name]), "group-correlations")
+    first = table.groupBy(name).agg(F.max("n").alias("rows")).orderBy(name).limit(groups)
+    kept = first.filter(F.col("rows") > min_rows).select(name)
+    return table.join(F.broadcast(kept), name)
 
 
 def corr_summary(correlations: DataFrame) -> DataFrame:

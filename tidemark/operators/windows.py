@@ -363,7 +363,7 @@ def rolling_origin_folds(df: DataFrame, keys: list[str], k: int = 5) -> DataFram
 
 def weekly_seasonality_flag(df: DataFrame, c: str) -> DataFrame:
     """Do weekday means vary more than half the volatility of the daily means?"""
-    daily = df.groupBy("date").agg(F.avg(c).alias("value"))
+    daily = materialize(df.groupBy("date").agg(F.avg(c).alias("value")), "daily")
     weekday = daily.groupBy(F.weekday("date")).agg(F.avg("value").alias("value"))
     volatility = daily.agg(F.stddev_samp("value")).scalar()
     return weekday.agg(F.var_samp("value").alias("weekday_variance")).select(

@@ -346,11 +346,19 @@ def _(t):
     )
 
 
-@query("fn_json", "region document")
+@query(
+    "fn_json",
+    "region usage_cpu:f usage_storage:f users_active:f n_fields:i",
+    """SELECT region, avg(usage_cpu) AS usage_cpu, avg(usage_storage) AS usage_storage,
+       avg(users_active) AS users_active, 4 AS n_fields FROM usage GROUP BY region""",
+)
 def _(t):
-    means = [F.round(F.avg(m), 4).alias(m) for m in METRICS]
-    out = t.usage.groupBy("region").agg(*means)
-    return out.select("region", F.to_json(F.struct("region", *METRICS)).alias("document"))
+    out = t.usage.groupBy("region").agg(*[F.avg(m).alias(m) for m in METRICS])
+    text = out.select(F.to_json(F.struct("region", *METRICS)).alias("document"))
+    parsed = F.from_json("document", out.schema)
+    return text.select(
+        F.size(F.json_object_keys("document")).alias("n_fields"), parsed.alias("d")
+    ).select("d.*", "n_fields")
 
 
 @query(
