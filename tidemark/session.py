@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """Session for scripts and tests; on a cluster spark-submit supplies the master."""
@@ -35,25 +30,23 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
-    executors are threads of this machine, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder in the
+    warehouse serves, which all executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _local_dirs[app] = path
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(jvm_path.getParent())
+    store.deleteOnExit(jvm_path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -68,5 +61,5 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
