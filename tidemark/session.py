@@ -44,7 +44,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(jvm_path.getParent())
+    store.mkdirs(jvm_path)
     store.deleteOnExit(jvm_path)
     return path
 
