@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import token_files, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def public_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query(
     "op6_warc",
     """
@@ -40,3 +46,8 @@ def query(name: str, sql: str | None = None):
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.round_trip(spark, table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(spark, table(spark, folder, "documents"), public_tokenizer())

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,11 +56,5 @@ def committed(manifest: DataFrame, folder: str) -> DataFrame:
 def one_task_each(manifest: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """The manifest dealt out so that tasks hold about one file each (several beyond ``most`` files)."""
     files = max(1, min(most, manifest.count()))
-    place = F.row_number().over(_window(key)) % files
-    return manifest.repartitionByRange(files, place) if files > 1 else manifest
-
-
-def _window(key: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(key)
+    placed = manifest.withColumn("place", F.row_number().over(Window.orderBy(key)) % files)
+    return placed.repartitionByRange(files, "place").drop("place")
