@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files, warc
+from . import token_files, va_file, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,21 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(spark, table(spark, folder, "documents"), public_tokenizer())
+
+
+@query(
+    "op9_va_file",
+    """
+    WITH sound AS (
+        SELECT vec_id, embedding FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    v AS (SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM sound),
+    s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+    """,
+)
+def op9_va_file(spark: SparkSession, folder: str) -> DataFrame:
+    return va_file.search(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
