@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files, va_file, warc
+from . import token_files, url_filter, va_file, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,61 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_va_file(spark: SparkSession, folder: str) -> DataFrame:
     return va_file.search(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+URL_RULES = [
+    url_filter.Rule("net/", allow=False),
+    url_filter.Rule("example.net/en/", allow=True),
+    url_filter.Rule("example.com/de/", allow=False),
+    url_filter.Rule("org/fr/", allow=True),
+]
+
+
+@query(
+    "op1_url_filter",
+    r"""
+    WITH RECURSIVE u AS (
+        SELECT page_id, html,
+               CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (
+        SELECT page_id, html,
+               translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    j AS (
+        SELECT page_id, host, path, CASE
+            WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+    seed AS (
+        SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1 ELSE 0 END) > 0.5 AS trusted,
+               avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 ELSE 0 END) > 0.5 AS blocked
+        FROM j WHERE host <> '' GROUP BY host),
+    start AS (
+        SELECT 'trust' AS kind, host, CAST(0.15 AS DOUBLE) AS score FROM seed WHERE trusted
+        UNION ALL SELECT 'distrust', host, CAST(0.15 AS DOUBLE) FROM seed WHERE blocked),
+    pair AS (
+        SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(
+            translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)) AS dst FROM h),
+    link AS (SELECT src, dst, count(*) AS pages FROM pair WHERE src <> '' AND src <> dst GROUP BY ALL),
+    step AS (
+        SELECT 'trust' AS kind, src AS host, dst AS next, 0.85 * pages / sum(pages) OVER (PARTITION BY src) AS share FROM link
+        UNION ALL SELECT 'distrust', dst, src, 0.85 * pages / sum(pages) OVER (PARTITION BY dst) FROM link),
+    walk AS (
+        SELECT 0 AS round, kind, host, score FROM start
+        UNION ALL
+        SELECT round + 1, step.kind, next, sum(score * share) FROM walk JOIN step ON walk.kind = step.kind AND walk.host = step.host
+        WHERE round < 30 GROUP BY ALL),
+    score AS (
+        SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust,
+               sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM walk GROUP BY host)
+    SELECT page_id, j.host, path, rule, CASE
+        WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+        WHEN distrust >= 0.02 AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict
+    FROM j LEFT JOIN score ON j.host = score.host
+    """,
+)
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
