@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files, url_filter, va_file, warc
+from . import mixing, token_files, url_filter, va_file, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ URL_RULES = [
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, folder, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(spark, table(spark, folder, "documents"))
