@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_files, url_filter, va_file, warc
+from . import decontamination, mixing, token_files, url_filter, va_file, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,32 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(spark, table(spark, folder, "documents"))
+
+
+@query(
+    "op10_decontamination",
+    r"""
+    WITH b AS (
+        SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+    p AS (
+        SELECT DISTINCT item_id, CASE WHEN len(w) < 10 THEN w ELSE w[i:i + 9] END AS g
+        FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+    d AS (
+        SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+        FROM documents),
+    n AS (SELECT DISTINCT len(g) AS n FROM p),
+    s AS (SELECT r, i, n, w[i:i + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n)),
+    o AS (SELECT r, i, n, item_id FROM s JOIN p USING (g)),
+    h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM o) GROUP BY r),
+    t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+    """,
+)
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.report(found)
