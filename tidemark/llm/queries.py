@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, token_files, url_filter, va_file, warc
-from .common import table
+from . import decontamination, mixing, quality, token_files, url_filter, va_file, warc
+from .common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,3 +161,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontamination.report(found)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), crc32_of("doc_id") % 5 == 0
+    model = quality.fit(docs, table(spark, folder, "labels").filter(~held_out))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
