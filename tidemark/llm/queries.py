@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, token_files, url_filter, va_file, warc
+from . import decontamination, jaccard_join, mixing, quality, token_files, url_filter, va_file, warc
 from .common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,8 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, folder, "documents"))
