@@ -32,7 +32,8 @@ LENGTH = 2048
 #: Rows of a record batch.
 BATCH_ROWS = 256
 #: Distinct pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+CLOSING = ",.!?;:"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -56,7 +57,9 @@ class Encoder:
     def forget(self) -> None:
         import numpy as np
 
-        self.places: dict[str, int] = {}
+        #: Place of each remembered piece (opened by a space) and of each text's first piece.
+        self.places: dict[str, int] = {"": 0}  # stands first in a text only
+        self.firsts: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list:
@@ -65,19 +68,47 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype) for e in found]
 
+    def _append(self, lists: list) -> range:
+        """Places of the lists among the remembered ids."""
+        import numpy as np
+
+        at = len(self.starts) - 1
+        ends = self.starts[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)
+        self.ids, self.starts = np.concatenate([self.ids, *lists]), np.concatenate([self.starts, ends])
+        return range(at, at + len(lists))
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text and cut its ids where an id opens with a space."""
+        """Encode new pieces as one text and cut its ids where an id opens with a space.
+
+        Closing punctuation behind a letter or digit is a pre-token of its own, so a piece
+        that ends in it has the ids of the piece without it, then those of the punctuation.
+        """
         import numpy as np
 
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
+        bare = {p: c for p in pieces if (c := p.rstrip(CLOSING)) != p and c and c[-1].isalnum()}
+        fresh = dict.fromkeys(c for p in pieces if (c := bare.get(p, p)) not in self.places)
+        plain = list(fresh)
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo : lo + 20_000]
             ids = self.whole([" " + " ".join(part)])[0]
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
                 raise AssertionError("pieces of a text met in one token")
-            self.places.update(zip(part, range(len(self.starts) - 1, len(self.starts) - 1 + len(part))))
-            ends = np.append(cuts[1:], len(ids)) + len(self.ids)
-            self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, ends])
+            at = len(self.starts) - 1
+            self.starts = np.concatenate([self.starts, np.append(cuts[1:], len(ids)) + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.places.update(zip(part, range(at, at + len(part))))
+        ends = list({p[len(c) :] for p, c in bare.items()})
+        tails = dict(zip(ends, self.whole(ends)))
+        lists = []
+        for p, c in bare.items():
+            k = self.places[c]
+            lists += [self.ids[self.starts[k] : self.starts[k + 1]], tails[p[len(c) :]]]
+        if lists:
+            at = len(self.starts) - 1
+            ends = self.starts[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)[1::2]
+            self.ids, self.starts = np.concatenate([self.ids, *lists]), np.concatenate([self.starts, ends])
+            self.places.update(zip(bare, range(at, at + len(bare))))
 
     def encode(self, texts) -> tuple:
         """(ids of all texts in a row, number of ids of each) of a pyarrow string array without nulls."""
@@ -85,43 +116,39 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if len(self.places) + len(self.firsts) > REMEMBERED:
+            self.forget()
         odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
         for content in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, content))
-        odd = odd.to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
-        apart = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts.filter(pa.array(odd)).to_pylist())))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.by_piece else np.arange(len(texts))
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values
-        firsts = offsets[:-1]
-        heads = self.whole(words.take(pa.array(firsts)).to_pylist())
-        rest = np.ones(len(words), bool)
-        rest[firsts] = False
-        for k in apart:
-            rest[offsets[k] : offsets[k + 1]] = False
-        coded = words.filter(pa.array(rest)).dictionary_encode()
+        rest = slice(None)
+        if len(odd):
+            rest = np.ones(len(words), bool)
+            for k in odd:
+                rest[offsets[k] : offsets[k + 1]] = False
+        coded = (words.filter(pa.array(rest)) if len(odd) else words).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.places) > REMEMBERED:
-            self.forget()
         self._learn([p for p in pieces if p not in self.places])
-        of_piece = np.fromiter((self.places[p] for p in pieces), np.int64, len(pieces))
-        place = np.full(len(words), -1, np.int64)
+        heads = words.take(pa.array(offsets[:-1])).to_pylist()
+        if new := [h for h in dict.fromkeys(heads) if h not in self.firsts]:
+            self.firsts.update(zip(new, self._append(self.whole(new))))
+        of_piece = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        # This batch's own lists, an empty one and the odd texts, stand behind the remembered ones.
+        kept = self.ids, self.starts
+        own = self._append([np.zeros(0, self.dtype), *self.whole(texts.take(pa.array(odd)).to_pylist())])
+        place = np.full(len(words), own[0], np.int64)
         place[rest] = of_piece[coded.indices.to_numpy(zero_copy_only=False)]
-        length = np.where(place >= 0, self.starts[place + 1] - self.starts[place], 0)
-        length[place < 0] = 0
-        for k in range(len(texts)):
-            length[firsts[k]] = len(apart[k]) if k in apart else len(heads[k])
-        begin = np.concatenate([[0], np.cumsum(length)])
-        # Places of all ids in the remembered ids: a run for each word.
-        source = np.repeat(np.where(place >= 0, self.starts[place], 0) - begin[:-1], length)
-        source += np.arange(begin[-1])
-        own = np.repeat(place >= 0, length)
-        out = np.zeros(begin[-1], self.dtype)
-        out[own] = self.ids[source[own]]
-        for k in range(len(texts)):
-            found = apart[k] if k in apart else heads[k]
-            out[begin[firsts[k]] : begin[firsts[k]] + len(found)] = found
-        return out, np.diff(begin[offsets])
+        place[offsets[:-1]] = np.fromiter(map(self.firsts.__getitem__, heads), np.int64, len(heads))
+        place[offsets[odd]] = own[1:]
+        begin = np.concatenate([[0], np.cumsum((self.starts[1:] - self.starts[:-1])[place])])
+        known = pa.ListArray.from_arrays(pa.array(self.starts.astype(np.int32)), pa.array(self.ids))
+        ids = known.take(pa.array(place)).flatten().to_numpy()
+        self.ids, self.starts = kept
+        return ids, np.diff(begin[offsets])
 
 
 def encoder(path: str) -> Encoder:
@@ -188,7 +215,7 @@ def write_tokens(
 
         own, out, docs_seen = encoder(tokenizer), None, 0
         index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_ids", pa.int64())])
-        for batch in text_batches(batches, "text", 4_000_000):
+        for batch in text_batches(batches, "text", 8_000_000):
             if out is None:
                 paths = [shared_files.new_name(folder, label, ".arrow") for label in ("ids", "index")]
                 out = _Sequences(paths[0], own.dtype, length, rows)
