@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language, mixing, quality, token_files, url_filter, va_file, warc
+from . import decontamination, jaccard_join, language, mixing, quality, secrets, token_files, url_filter, va_file, warc
 from .common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), crc32_of("doc_id") % 4 == 2
     model = language.fit(docs.filter(~held_out))
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents")).select(
+        "doc_id", F.col("place").cast("long").alias("place"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"),
+        F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"), "is_secret",
+    )
