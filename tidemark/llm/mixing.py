@@ -184,7 +184,8 @@ def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: in
 
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / float(1 << 53)
     kinds = plan.select("pattern", "buckets").distinct()
-    dealt = rows.join(kinds, "pattern", "left").withColumn("place", place)
+    # At most MOST_PATTERNS short rows; a shuffle by pattern would send a hot source to one task.
+    dealt = rows.join(F.broadcast(kinds), "pattern", "left").withColumn("place", place)
     dealt = dealt.withColumn("bucket", F.coalesce(F.floor(F.col("place") * F.col("buckets")).cast("int"), F.lit(-1)))
     sums = dealt.filter("bucket >= 0 AND size > 0").groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     end = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket"))
@@ -246,6 +247,6 @@ def mix_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
         [([s], int(known["words"][s]), float(known["wanted"][s])) for s in in_order(known["words"])],
         "pattern array<string>, source_size long, target double",
     )
-    return taken.join(sources, "pattern").select(
+    return taken.join(F.broadcast(sources), "pattern").select(
         "doc_id", "size", "source_size", "target", (F.size("takers") * F.col("size")).cast("long").alias("taken")
     )
