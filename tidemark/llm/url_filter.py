@@ -24,6 +24,8 @@ from .common import lower_ascii, set_checkpoint_dir
 
 #: Host of an absolute or protocol-relative link of an anchor.
 LINK_HOST = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: So many scored hosts (some 100 bytes each) are sent to every task.
+BROADCAST_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,9 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     judged = judged_by_rules(pages, rules)
-    scores = propagate(host_links(pages), host_seeds(judged, rules), damping, rounds)
+    scores = propagate(host_links(pages), host_seeds(judged, rules), damping, rounds).checkpoint()
+    if scores.count() <= BROADCAST_HOSTS:
+        scores = F.broadcast(scores)  # else a shuffle by host, whose hot partitions Spark splits
     by_rule = F.when(F.col("rule").isin([r.text for r in rules if r.allow]), "allow").when(F.col("rule").isNotNull(), "block")
     by_walk = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]
