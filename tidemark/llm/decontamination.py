@@ -277,7 +277,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without the hit spans; every other text, and every other column, is unchanged."""
+    """The documents without the hit spans, ``n_chars`` (if there) counted anew for them; all else is unchanged."""
     folder = _write_benchmark(benchmark)
     schema = docs.schema
 
@@ -289,8 +289,13 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
             _, spans, _ = _judge(texts, _benchmark(folder, window))
             if any(spans):
                 texts = [without_spans(t, s) if s else t for t, s in zip(texts, spans)]
-                columns = dict(zip(batch.schema.names, batch.columns))
-                batch = pa.RecordBatch.from_arrays(list((columns | {"text": pa.array(texts, batch.schema.field("text").type)}).values()), schema=batch.schema)
+                fresh = {"text": texts}
+                if "n_chars" in batch.schema.names:
+                    before = batch.column("n_chars").to_pylist()
+                    fresh["n_chars"] = [len(t) if s else n for t, s, n in zip(texts, spans, before)]
+                for name, values in fresh.items():
+                    at = batch.schema.get_field_index(name)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
             yield batch
 
     return docs.mapInArrow(clean, schema)

@@ -190,3 +190,10 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("place").cast("long").alias("place"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"),
         F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"), "is_secret",
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
