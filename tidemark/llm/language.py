@@ -119,7 +119,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
         width = len(self.alphabet) + 3
-        count = np.ones((len(self.tables), len(owner)), np.int64)
+        count = np.zeros((len(self.tables), len(owner)), np.int64)
         flat_tables = [t.ravel() for t in self.tables]
         state = np.zeros((len(self.tables), len(owner)), np.int32)
         live = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
@@ -129,10 +129,11 @@ class Model:
                 break
             code = flat[start[:n] + step]
             for k, t in enumerate(flat_tables):
-                after = t[state[k, :n] * np.int64(width) + code]
-                ends = after == 0
-                count[k, :n] += ends
-                state[k, :n] = np.where(ends, t[code], after)
+                before = state[k, :n]
+                after = t[before * np.int64(width) + code]
+                # At the root, as after an unknown letter (a phrase of its own), no phrase is open.
+                count[k, :n] += (after == 0) | (before == 0)
+                state[k, :n] = np.where(after == 0, t[code], after)
         return np.stack([np.bincount(owner, c, minlength=len(texts)) for c in count], axis=1)
 
     def judge(self, texts: list) -> tuple[list[str], list[float]]:
