@@ -25,7 +25,7 @@ def landed(spark):
 
 def test_daily_equals_batch(spark, landed):
     df, path = landed
-    stream = jobs.run_append(jobs.stream_daily(jobs.read_events(spark, path, "*.parquet")), "test-daily")
+    stream = jobs.run_append(jobs.stream_daily(jobs.read_events(spark, path)), scratch_path(spark, "test-daily"))
     batch = df.groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(
         F.count("*").alias("events"), F.avg("value").alias("avg_value")
     )
@@ -39,7 +39,7 @@ def test_event_time_ignores_the_session_zone(spark, landed):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
-        stream = jobs.run_append(jobs.stream_daily(jobs.read_events(spark, path, "*.parquet")), "test-zone")
+        stream = jobs.run_append(jobs.stream_daily(jobs.read_events(spark, path)), scratch_path(spark, "test-zone"))
         assert stream.groupBy("date").agg(F.sum("events").alias("n")).filter("n <> 24").count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
@@ -47,15 +47,17 @@ def test_event_time_ignores_the_session_zone(spark, landed):
 
 def test_last_state_equals_batch(spark, landed):
     df, path = landed
-    events = jobs.read_events(spark, path, "*.parquet", files_per_batch=1)
-    got = jobs.stream_last_state(events, ["event_type"])
+    events = jobs.read_events(spark, path, files_per_batch=1)
+    got = jobs.stream_last_state(events, scratch_path(spark, "test-state"), ["event_type"])
     want = jobs.last_state(df, ["event_type"])
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def test_change_monitor_counts_every_row_once(spark, landed):
     df, path = landed
-    log = jobs.stream_change_monitor(jobs.read_events(spark, path, "*.parquet", files_per_batch=1))
+    log = jobs.stream_change_monitor(
+        jobs.read_events(spark, path, files_per_batch=1), scratch_path(spark, "test-changes")
+    )
     rows = log.orderBy("batch").collect()
     assert sum(r.new_records for r in rows) == df.count() == rows[-1].data_size
     assert rows[0].training_triggered
@@ -74,6 +76,42 @@ def test_repeated_batch_replaces_itself(spark, landed):
 
 def test_alerts_name_their_side(spark, landed):
     _, path = landed
-    alerts = jobs.stream_alerts(jobs.read_events(spark, path, "*.parquet"), high=8.5, low=7.5)
-    rows = jobs.run_append(alerts, "test-alerts").collect()
+    alerts = jobs.daily_alerts(jobs.stream_daily(jobs.read_events(spark, path)), high=8.5, low=7.5)
+    rows = jobs.run_append(alerts, scratch_path(spark, "test-alerts")).collect()
     assert all((r.avg_value > 8.5) == (r.alert == "HIGH") for r in rows)
+
+
+def test_updates_hold_open_windows_too(spark, landed):
+    df, path = landed
+    daily = jobs.stream_daily(jobs.read_events(spark, path, files_per_batch=1))
+    found = jobs.run_updates(daily, scratch_path(spark, "test-updates"), ["date", "event_type"])
+    assert found.count() == df.select(F.col("ts").cast("date"), "event_type").distinct().count()
+    assert found.agg(F.sum("events")).first()[0] == df.count()
+
+
+def test_both_layouts_read_the_same(spark, landed, tmp_path):
+    df, path = landed
+    one = df.toPandas()
+    one.to_parquet(tmp_path / "events.parquet", index=False, coerce_timestamps="us")
+    counts = []
+    for place in (f"{tmp_path}/events.parquet", path):
+        state = jobs.stream_last_state(jobs.read_events(spark, place), scratch_path(spark, "test-layout"), ["event_type"])
+        counts.append(sorted(map(tuple, state.select("event_type", "events").collect())))
+    assert counts[0] == counts[1] and sum(n for _, n in counts[0]) == df.count()
+
+
+def test_restarted_job_continues(spark, landed):
+    df, _ = landed
+    source, out = scratch_path(spark, "test-source"), scratch_path(spark, "test-restart")
+    whole = scratch_path(spark, "test-whole")
+    early = F.col("ts") < F.lit(T0 + datetime.timedelta(days=5))
+    df.filter(early).write.mode("append").parquet(source)
+    run = lambda folder: jobs.run_append(jobs.stream_daily(jobs.read_events(spark, source)), folder)
+    first = run(out).count()
+    assert run(out).count() == first
+    df.filter(~early).write.mode("append").parquet(source)
+    again = run(out).select("date", "event_type", "events")
+    once = run(whole).select("date", "event_type", "events")
+    assert again.count() > first and again.exceptAll(once).count() == 0 and once.exceptAll(again).count() == 0
+    log = lambda: jobs.stream_change_monitor(jobs.read_events(spark, source), f"{whole}-log")
+    assert log().count() == log().count() == 1

@@ -8,54 +8,57 @@ from ..session import scratch_path
 from ..streaming import jobs
 from .catalog import query
 
-CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 DAY = "CAST(date_trunc('day', ts) AS DATE)"
+DAILY = f"""SELECT {DAY} AS date, event_type, count(*) AS events, avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value
+FROM events GROUP BY {DAY}, event_type"""
 
 
-@query(
-    "st_1_stream_daily",
-    "date event_type events:i avg_value:f min_value:f max_value:f",
-    f"""SELECT {DAY} AS date, event_type, count(*) AS events, avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value
-FROM events GROUP BY {DAY}, event_type HAVING {DAY} + INTERVAL 1 DAY <= {CLOSED}""",
-)
+def events(t):
+    return jobs.read_events(t.spark, f"{t.folder}/events.parquet")
+
+
+def daily(t):
+    folder = scratch_path(t.spark, "stream-daily")
+    return jobs.run_updates(jobs.stream_daily(events(t)), folder, ["date", "event_type"])
+
+
+@query("st_1_stream_daily", "date event_type events:i avg_value:f min_value:f max_value:f", DAILY)
 def _(t):
-    return jobs.run_append(jobs.stream_daily(jobs.read_events(t.spark, t.folder)), "stream-daily")
+    return daily(t)
 
 
 @query(
     "st_2_stream_rolling",
     "window_end event_type events:i avg_value:f",
-    f"""SELECT CAST(window_end AS DATE) AS window_end, event_type, count(*) AS events, avg(value) AS avg_value
+    """SELECT CAST(window_end AS DATE) AS window_end, event_type, count(*) AS events, avg(value) AS avg_value
 FROM (SELECT event_type, value, date_trunc('day', ts) + INTERVAL 1 DAY * unnest(range(1, 8)) AS window_end FROM events)
-WHERE window_end <= {CLOSED} GROUP BY window_end, event_type""",
+GROUP BY window_end, event_type""",
 )
 def _(t):
-    return jobs.run_append(jobs.stream_rolling(jobs.read_events(t.spark, t.folder)), "stream-rolling")
-
-
-def staged(t, files: int = 5) -> str:
-    """The events in several files ordered by time, as a stream source would land them."""
-    path = scratch_path(t.spark, "landed-events")
-    t.events.repartitionByRange(files, "ts").write.parquet(path)
-    return path
+    folder = scratch_path(t.spark, "stream-rolling")
+    return jobs.run_updates(jobs.stream_rolling(events(t)), folder, ["window_end", "event_type"])
 
 
-@query("st_3_stream_change_monitor", "batch:i data_size:i new_records:i training_triggered")
+@query(
+    "st_3_stream_change_monitor",
+    "date data_size:i new_records:i training_triggered",
+    f"""SELECT date, data_size, new_records,
+       coalesce(new_records * 100.0 / nullif(data_size - new_records, 0) >= 5, TRUE) AS training_triggered
+FROM (SELECT date, new_records, sum(new_records) OVER (ORDER BY date) AS data_size
+      FROM (SELECT {DAY} AS date, count(*) AS new_records FROM events GROUP BY {DAY}))""",
+)
 def _(t):
-    events = jobs.read_events(t.spark, staged(t), "*.parquet", files_per_batch=1)
-    return jobs.stream_change_monitor(events)
+    return jobs.daily_changes(daily(t))
 
 
 @query(
     "st_4_stream_alerts",
     "date event_type avg_value:f alert",
-    f"""SELECT *, CASE WHEN avg_value > 55 THEN 'HIGH' ELSE 'LOW' END AS alert FROM (
-  SELECT {DAY} AS date, event_type, avg(value) AS avg_value FROM events
-  GROUP BY {DAY}, event_type HAVING {DAY} + INTERVAL 1 DAY <= {CLOSED}) WHERE avg_value > 55 OR avg_value < 45""",
+    f"""SELECT date, event_type, avg_value, CASE WHEN avg_value > 55 THEN 'HIGH' ELSE 'LOW' END AS alert
+FROM ({DAILY}) WHERE avg_value > 55 OR avg_value < 45""",
 )
 def _(t):
-    alerts = jobs.stream_alerts(jobs.read_events(t.spark, t.folder), high=55.0, low=45.0)
-    return jobs.run_append(alerts, "stream-alerts")
+    return jobs.daily_alerts(daily(t), high=55.0, low=45.0)
 
 
 @query(
@@ -66,6 +69,5 @@ def _(t):
        min(value) AS min_value, max(value) AS max_value, count(*) AS events FROM events GROUP BY event_type""",
 )
 def _(t):
-    events = jobs.read_events(t.spark, staged(t), "*.parquet", files_per_batch=1)
-    state = jobs.stream_last_state(events, ["event_type"])
+    state = jobs.stream_last_state(events(t), scratch_path(t.spark, "last-state"), ["event_type"])
     return state.withColumn("last_ts", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"))

@@ -41,12 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(jvm_path)
-    store.deleteOnExit(jvm_path)
-    return path
+    folder = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return f"{folder}/data"
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the daily aggregates, change checks and alerts.
 
-Each job reads event files as a stream, keeps its state bounded by a watermark or by
-the number of keys, and writes to the shared folder with a checkpoint beside it, so a
+Each job reads event files as a stream and keeps its state bounded by a watermark or by
+the number of keys. The caller names the folder of a job's output and checkpoint, so a
 restarted job continues where it stopped and writes no row twice.
 """
 
@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ladder, ratio
-from ..session import scratch_path
 
 EVENTS = T.StructType(
     [
@@ -28,14 +27,16 @@ EVENTS = T.StructType(
 )
 
 
-def read_events(
-    spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int | None = None
-) -> DataFrame:
-    """Event files of a folder as a stream; the declared schema avoids an inference pass."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """An event file, or a folder of part files, as a stream; the declared schema avoids an inference pass."""
+    reader = spark.readStream.schema(EVENTS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def event_time(c: str = "ts") -> Column:
@@ -51,35 +52,47 @@ def wall_date(c: str) -> Column:
     return F.to_utc_timestamp(c, F.current_timezone()).cast("date")
 
 
-def run_append(df: DataFrame, label: str) -> DataFrame:
-    """Process everything available, append finished rows to a table, and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+def run_append(df: DataFrame, folder: str) -> DataFrame:
+    """Process everything available, append finished rows to ``folder``, and read all of it back."""
     stream = (
         df.writeStream.format("parquet")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/checkpoint")
+        .option("path", f"{folder}/data")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/data")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/data")
 
 
-def run_batches(df: DataFrame, label: str, handle: Callable[[DataFrame, int, str], None], mode: str) -> str:
+def run_batches(df: DataFrame, folder: str, handle: Callable[[DataFrame, int, str], None], mode: str) -> str:
     """Process everything available batch by batch; returns the folder of the results."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
     stream = (
-        df.writeStream.foreachBatch(lambda batch, number: handle(batch, number, f"{path}/data"))
-        .option("checkpointLocation", f"{path}/checkpoint")
+        df.writeStream.foreachBatch(lambda batch, number: handle(batch, number, f"{folder}/data"))
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    return f"{path}/data"
+    return f"{folder}/data"
+
+
+def run_updates(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Process everything available and return the newest row of each key, open windows included.
+
+    A batch writes its changed rows to a partition of its own and replaces it when repeated.
+    """
+
+    def handle(batch: DataFrame, number: int, path: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    path = run_batches(df, folder, handle, "update")
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    updates = df.sparkSession.read.schema(schema).parquet(path)
+    newest = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("s")
+    return updates.groupBy(*keys).agg(newest).select(*keys, "s.*")
 
 
 def _measures() -> list[Column]:
@@ -113,15 +126,24 @@ def stream_rolling(events: DataFrame, days: int = 7, watermark: str = "1 day") -
     )
 
 
-def stream_alerts(events: DataFrame, high: float, low: float, watermark: str = "1 day") -> DataFrame:
-    """Closed days whose mean value leaves the band between ``low`` and ``high``."""
-    daily = stream_daily(events, watermark)
+def daily_alerts(daily: DataFrame, high: float, low: float) -> DataFrame:
+    """Days, of a table or a stream, whose mean value leaves the band between ``low`` and ``high``."""
     a = F.col("avg_value")
     return daily.withColumn("alert", ladder([(a > high, "HIGH"), (a < low, "LOW")], None)).filter(
         F.col("alert").isNotNull()
     )
 
 
+def daily_changes(daily: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """Per day: rows so far, new rows, and whether they grew by ``threshold`` percent; one row per date."""
+    days = daily.groupBy("date").agg(F.sum("events").alias("new_records"))
+    size = F.sum("new_records").over(Window.orderBy("date"))
+    growth = ratio(F.col("new_records") * 100, F.col("data_size") - F.col("new_records"))
+    return days.withColumn("data_size", size).select(
+        "date", "data_size", "new_records", F.coalesce(growth >= threshold, F.lit(True)).alias("training_triggered")
+    )
+
+
 MONITORING = "batch bigint, data_size bigint, new_records bigint, training_triggered boolean"
 
 
@@ -149,8 +171,8 @@ def change_monitor(threshold: float = 5.0) -> Callable[[DataFrame, int, str], No
     return handle
 
 
-def stream_change_monitor(events: DataFrame, threshold: float = 5.0) -> DataFrame:
-    path = run_batches(events, "change-monitor", change_monitor(threshold), "append")
+def stream_change_monitor(events: DataFrame, folder: str, threshold: float = 5.0) -> DataFrame:
+    path = run_batches(events, folder, change_monitor(threshold), "append")
     return events.sparkSession.read.schema(MONITORING).parquet(path)
 
 
@@ -169,16 +191,6 @@ def last_state(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def stream_last_state(events: DataFrame, keys: list[str]) -> DataFrame:
+def stream_last_state(events: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """The state after all available events: the newest update of each key."""
-    state = last_state(events, keys)
-
-    def handle(batch: DataFrame, number: int, path: str) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    path = run_batches(state, "last-state", handle, "update")
-    schema = T.StructType([*state.schema.fields, T.StructField("batch", T.LongType())])
-    updates = events.sparkSession.read.schema(schema).parquet(path)
-    fields = [c for c in state.columns if c not in keys]
-    newest = F.max_by(F.struct(*fields), "batch").alias("s")
-    return updates.groupBy(*keys).agg(newest).select(*keys, "s.*")
+    return run_updates(last_state(events, keys), folder, keys)
