@@ -136,3 +136,40 @@ def test_quarterly_scores_mark_one_active_model(spark):
     log = evaluation.quarterly_scores(evaluation.baseline_predictions(daily(spark)))
     active = log.groupBy("region", "metric_type", "training_date").agg(F.count_if("is_active").alias("n"))
     assert active.filter("n <> 1").count() == 0
+
+
+def region_days(spark, n=150, gap=0):
+    rng = np.random.default_rng(4)
+    rows = []
+    for region in ("A", "B"):
+        for i in range(n):
+            known = i < n - gap
+            rows.append(
+                (region, DAY0 + datetime.timedelta(days=i), float(50 + 10 * np.sin(i / 3) + rng.normal()), float(300 + i % 7),
+                 float(900 + 5 * (i % 7) + rng.normal()), 70.0 + min(i, 80) if known else None, 1.0 + min(i, 80) / 10 if known else None, int(i % 7 >= 5))
+            )
+    return spark.createDataFrame(
+        rows,
+        "region string, date date, usage_cpu double, usage_storage double, users_active double, economic_index double, "
+        "cloud_market_demand double, holiday int",
+    )
+
+
+def test_tree_forecast_keeps_the_last_known_factors(spark):
+    whole, gap = region_days(spark), region_days(spark, gap=60)
+    for metric in ("cpu", "users"):
+        model, _, regions = models.fit_gbt(whole, metric, [(5, 3, 0.3)])
+        found = [
+            sorted((r.region, r.step, round(r.predicted, 9)) for r in models.forecast_gbt(df, model, metric, regions, 6).collect())
+            for df in (whole, gap)
+        ]
+        # Factors stand still for the last 70 days, so a gap of 60 days changes nothing.
+        assert found[0] == found[1] and len(found[0]) == 12
+
+
+def test_a_factor_that_was_never_known_is_an_error(spark):
+    whole = region_days(spark)
+    model, _, regions = models.fit_gbt(whole, "cpu", [(3, 2, 0.3)])
+    never = whole.withColumn("economic_index", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="no economic_index is known for"):
+        models.forecast_gbt(never, model, "cpu", regions, 2).collect()

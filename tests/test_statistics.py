@@ -25,7 +25,7 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 50, "fanout": 8}, {"bucket_rows": 1, "fanout": 64}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 8}, {"parts": 64}])
 def test_percentiles_are_exact(spark, sizes):
     df, pdf = skewed(spark)
     ps = [0.0, 0.01, 0.25, 0.5, 0.9, 0.95, 1.0]
@@ -35,7 +35,7 @@ def test_percentiles_are_exact(spark, sizes):
             assert got[(key, p)] == pytest.approx(np.percentile(group["value"], p * 100), rel=1e-12)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 20, "fanout": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 4}])
 def test_positions_count_smaller_rows(spark, sizes):
     df, pdf = skewed(spark, 800)
     rows = value_positions(df, ["key"], ["value"], **sizes).collect()
@@ -71,7 +71,7 @@ def test_pearson_matches_pandas(spark):
         assert r == pytest.approx(want.loc[a, b], abs=1e-12)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 5, "fanout": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 4}])
 def test_spearman_matches_ranked_pearson(spark, sizes):
     df, pdf = sample(spark)
     got = matrix(statistics.spearman_matrix(df, ["x", "y", "z"], **sizes))
@@ -180,7 +180,7 @@ def test_linear_trend_line(spark):
     assert max(r.y for r in rows) == pytest.approx(28)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 40, "fanout": 8}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 8}])
 def test_distribution_in_one_pass(spark, sizes):
     df, pdf = skewed(spark, 900)
     rows = {r.key: r for r in distribution(df, ["key"], ["value"], {"q50": 0.5}, **sizes).collect()}

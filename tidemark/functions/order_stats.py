@@ -1,23 +1,19 @@
 """Exact order statistics that do not gather a group into one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here equal values are first counted (map-side combined, spread by value), and the
-counted values are put in order by equal-width buckets, so that no task sorts more
-than ``bucket_rows`` distinct values. A bucket that is still too full is split again
-over its own value range until all buckets fit.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here equal
+values are counted (map-side combined), and Spark's range partitioning puts the counted
+values in order over all groups. The totals of the ranges, one row per range and group, give
+the offset of each range; only inside a range are values ranked by a window. Percentiles look
+into the ranges that hold a wanted position and into no others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BUCKET_ROWS = 2_000_000
-FANOUT = 4096
-MAX_LEVELS = 8
-
 
 def value_counts(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """(keys, column, value, n): how often each non-null value occurs."""
@@ -30,123 +26,56 @@ def value_counts(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     )
 
 
-def _bucket(low: str, high: str, fanout: int) -> Column:
-    """Position of ``value`` between low and high on a grid of ``fanout`` cells."""
-    share = F.try_divide(F.col("value") - F.col(low), F.col(high) - F.col(low))
-    return F.coalesce(F.floor(share * fanout), F.lit(0)).cast("bigint")
+def _ranges(df: DataFrame, keys: list[str], cols: list[str], parts: int | None) -> DataFrame:
+    """Written value counts with the number of the range that holds them; ranges follow the values."""
+    order = [*keys, "column", "value"]
+    counts = value_counts(df, keys, cols)
+    placed = counts.repartitionByRange(parts, *order) if parts else counts.repartitionByRange(*order)
+    return materialize(placed.withColumn("part", F.spark_partition_id()), "value-ranges")
 
 
-def _counted(df: DataFrame, keys: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """Written value counts, rows and distinct values per group, and the largest of these."""
-    counts = materialize(value_counts(df, keys, cols), "value-counts")
-    totals = counts.groupBy(*keys, "column").agg(
-        F.sum("n").alias("total"),
-        F.count("*").alias("distinct_values"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-    )
-    totals = materialize(totals, "value-totals")
-    return counts, totals, totals.agg(F.max("distinct_values")).first()[0] or 0
+def _offsets(ranges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, part, part_n, offset): rows of each range, and of the ranges before it."""
+    sums = ranges.groupBy(*group, "part").agg(F.sum("n").alias("part_n"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("offset", F.coalesce(F.sum("part_n").over(earlier), F.lit(0)))
 
 
-def value_positions(
-    df: DataFrame,
-    keys: list[str],
-    cols: list[str],
-    bucket_rows: int = BUCKET_ROWS,
-    fanout: int = FANOUT,
-) -> DataFrame:
-    """(keys, column, value, n, below): ``below`` counts the smaller entries of the group."""
-    counts, _, fullest = _counted(df, keys, cols)
-    return _positions(counts, [*keys, "column"], fullest, bucket_rows, fanout)
+def _ranked(ranges: DataFrame, offsets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, value, n, below) of the ranges that ``offsets`` names."""
+    inside = Window.partitionBy(*group, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return ranges.join(offsets, [*group, "part"]).select(*group, "value", "n", below.alias("below"))
 
 
-def _positions(
-    counts: DataFrame, group: list[str], fullest: int, bucket_rows: int, fanout: int
-) -> DataFrame:
-    if fullest <= bucket_rows:
-        before = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-
-    current, path = counts, group
-    for level in range(MAX_LEVELS):
-        span = materialize(
-            current.groupBy(*path).agg(F.min("value").alias("low"), F.max("value").alias("high")),
-            "value-span",
-        )
-        name = f"bucket_{level}"
-        current = materialize(
-            current.join(span, path).withColumn(name, _bucket("low", "high", fanout)).drop("low", "high"),
-            "value-buckets",
-        )
-        path = [*path, name]
-        fullest = current.groupBy(*path).count().agg(F.max("count")).first()[0]
-        if fullest <= bucket_rows:
-            break
-
-    # Bucket numbers order the buckets; totals of the buckets before give the offset.
-    # Each level's running total sees at most fanout + 1 rows of one parent bucket.
-    offset_total = F.lit(0)
-    out = current
-    for depth in range(len(group), len(path)):
-        parent, name = path[:depth], path[depth]
-        earlier = Window.partitionBy(*parent).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        totals = current.groupBy(*parent, name).agg(F.sum("n").alias("bucket_n"))
-        offset = f"offset_{name}"
-        offsets = materialize(
-            totals.select(
-                *parent, name, F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)).alias(offset)
-            ),
-            "bucket-offsets",
-        )
-        out = out.join(offsets, [*parent, name])
-        offset_total = offset_total + F.col(offset)
-    inside = Window.partitionBy(*path).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = offset_total + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return out.select(*group, "value", "n", below.alias("below"))
+def value_positions(df: DataFrame, keys: list[str], cols: list[str], parts: int | None = None) -> DataFrame:
+    """(keys, column, value, n, below): ``below`` counts the smaller entries of the group."""
+    group = [*keys, "column"]
+    ranges = _ranges(df, keys, cols, parts)
+    return _ranked(ranges, _offsets(ranges, group).drop("part_n"), group)
 
 
 def percentiles(
-    df: DataFrame,
-    keys: list[str],
-    cols: list[str],
-    ps: list[float],
-    bucket_rows: int = BUCKET_ROWS,
-    fanout: int = FANOUT,
+    df: DataFrame, keys: list[str], cols: list[str], ps: list[float], parts: int | None = None
 ) -> DataFrame:
-    """(keys, column, p, quantile): linearly interpolated percentiles, exact.
+    """(keys, column, p, quantile): linearly interpolated percentiles, exact."""
+    return _quantiles(_ranges(df, keys, cols, parts), [*keys, "column"], ps)
 
-    Where every group has few enough distinct values the built-in percentile merges the
-    counted values in bounded memory; otherwise the covering values are found by position.
-    """
-    counted = _counted(df, keys, cols)
-    return _quantiles(*counted, [*keys, "column"], ps, bucket_rows, fanout)
-
-
-def _quantiles(
-    counts: DataFrame,
-    totals: DataFrame,
-    fullest: int,
-    group: list[str],
-    ps: list[float],
-    bucket_rows: int,
-    fanout: int,
-) -> DataFrame:
+
+def _quantiles(ranges: DataFrame, group: list[str], ps: list[float]) -> DataFrame:
     shares = F.array(*[F.lit(float(p)) for p in ps])
-    if fullest <= bucket_rows:
-        merged = counts.groupBy(*group).agg(F.percentile("value", shares, F.col("n")).alias("qs"))
-        pairs = F.arrays_zip(shares.alias("p"), F.col("qs").alias("quantile"))
-        return merged.select(*group, F.inline(pairs).alias("p", "quantile"))
-    positions = _positions(counts, group, fullest, bucket_rows, fanout)
+    offsets = _offsets(ranges, group)
+    totals = offsets.groupBy(*group).agg(F.sum("part_n").alias("total"))
     wanted = totals.select(*group, "total", F.explode(shares).alias("p"))
     wanted = wanted.select(*group, "p", ((F.col("total") - 1) * F.col("p")).alias("target"))
     low, high = F.floor("target"), F.ceil("target")
-    covers = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-    hits = positions.join(wanted, group).filter(covers(low) | covers(high))
+    holds = lambda rank, begin, n: (F.col(begin) <= rank) & (rank < F.col(begin) + F.col(n))
+    near = offsets.join(wanted, group).filter(holds(low, "offset", "part_n") | holds(high, "offset", "part_n"))
+    ranked = _ranked(ranges, near.select(*group, "part", "offset").distinct(), group)
+    hits = ranked.join(wanted, group).filter(holds(low, "below", "n") | holds(high, "below", "n"))
     picked = hits.groupBy(*group, "p", "target").agg(
-        F.max(F.when(covers(low), F.col("value"))).alias("lo"),
-        F.max(F.when(covers(high), F.col("value"))).alias("hi"),
+        F.max(F.when(holds(low, "below", "n"), F.col("value"))).alias("lo"),
+        F.max(F.when(holds(high, "below", "n"), F.col("value"))).alias("hi"),
     )
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("target") - F.floor("target"))
     return picked.select(*group, "p", value.alias("quantile"))
@@ -159,38 +88,33 @@ def _named(long: DataFrame, group: list[str], named: dict[str, float]) -> DataFr
 
 
 def quantile_table(
-    df: DataFrame, keys: list[str], cols: list[str], named: dict[str, float], **sizes: int
+    df: DataFrame, keys: list[str], cols: list[str], named: dict[str, float], parts: int | None = None
 ) -> DataFrame:
     """(keys, column) with one column per named percentile."""
-    return _named(percentiles(df, keys, cols, list(named.values()), **sizes), [*keys, "column"], named)
+    return _named(percentiles(df, keys, cols, list(named.values()), parts), [*keys, "column"], named)
 
 
 def distribution(
-    df: DataFrame,
-    keys: list[str],
-    cols: list[str],
-    named: dict[str, float],
-    bucket_rows: int = BUCKET_ROWS,
-    fanout: int = FANOUT,
+    df: DataFrame, keys: list[str], cols: list[str], named: dict[str, float], parts: int | None = None
 ) -> DataFrame:
     """(keys, column, count, mean, std, min, max, named percentiles) from one pass over the data.
 
     Everything is derived from the written value counts.
     """
     group = [*keys, "column"]
-    counts, totals, fullest = _counted(df, keys, cols)
-    diff = F.col("value") - F.col("mean")
-    spread = (
-        counts.join(totals, group)
-        .groupBy(*group)
-        .agg(F.sum(F.col("n") * diff * diff).alias("ss"))
+    ranges = _ranges(df, keys, cols, parts)
+    totals = ranges.groupBy(*group).agg(
+        F.sum("n").alias("count"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    long = _quantiles(counts, totals, fullest, group, list(named.values()), bucket_rows, fanout)
+    diff = F.col("value") - F.col("mean")
+    spread = ranges.join(totals, group).groupBy(*group).agg(F.sum(F.col("n") * diff * diff).alias("ss"))
     std = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - 1).cast("double"))))
-    basic = totals.select(*group, F.col("total").alias("count"), "mean", "min", "max")
     return (
-        basic.join(spread, group)
-        .join(_named(long, group, named), group)
+        totals.join(spread, group)
+        .join(_named(_quantiles(ranges, group, list(named.values())), group, named), group)
         .withColumn("std", std)
         .drop("ss")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_name, means, month_name, ratio
-from ..functions.order_stats import distribution
+from ..functions.order_stats import distribution, value_counts
 from ..session import materialize
 from ..sources.schemas import FACTORS, METRICS, NUMERIC
 from . import filters
@@ -97,8 +97,8 @@ def kpis(df: DataFrame) -> DataFrame:
         F.avg("usage_cpu").alias("avg_cpu"),
         F.avg("usage_storage").alias("avg_storage"),
         F.avg("users_active").alias("avg_users"),
-        F.countDistinct("region").alias("total_regions"),
-        F.countDistinct("resource_type").alias("total_resource_types"),
+        F.size(F.collect_set("region")).alias("total_regions"),
+        F.size(F.collect_set("resource_type")).alias("total_resource_types"),
         F.count("*").alias("data_points"),
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
@@ -237,8 +237,8 @@ def dataset_info(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count("*").alias("total_records"),
         F.datediff(F.max("date"), F.min("date")).alias("date_range_days"),
-        F.countDistinct("region").alias("regions_count"),
-        F.countDistinct("resource_type").alias("resource_types_count"),
+        F.size(F.collect_set("region")).alias("regions_count"),
+        F.size(F.collect_set("resource_type")).alias("resource_types_count"),
         F.sum("holiday").alias("holiday_records"),
         (F.count("*") - F.sum("holiday")).alias("regular_records"),
     )
@@ -248,18 +248,17 @@ def eda_summary(usage: DataFrame, external: DataFrame) -> DataFrame:
     """Range, mean and distinct count of every numeric column of both sources."""
 
     def profile(df: DataFrame, source: str, cols: list[str]) -> DataFrame:
-        fns = {"min": F.min, "max": F.max, "mean": F.avg, "distinct_values": F.countDistinct}
-        wide = df.agg(*[fn(c).alias(f"{c}_{n}") for c in cols for n, fn in fns.items()])
-        rows = [
-            F.struct(
-                F.lit(source).alias("source"),
-                F.lit(c).alias("column"),
-                *[F.col(f"{c}_{n}").cast("double").alias(n) for n in ("min", "max", "mean")],
-                F.col(f"{c}_distinct_values").alias("distinct_values"),
-            )
-            for c in cols
-        ]
-        return wide.select(F.inline(F.array(*rows)))
+        # One count per value serves all columns; several distinct counts would expand every row.
+        found = value_counts(df, [], cols).groupBy("column").agg(
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+            F.count("*").alias("distinct_values"),
+        )
+        names = df.sparkSession.createDataFrame([(source, c) for c in cols], "source string, column string")
+        return names.join(found, "column", "left").select(
+            "source", "column", "min", "max", "mean", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")
+        )
 
     return profile(usage, "usage", METRICS).unionByName(
         profile(external, "external", [*FACTORS, "holiday"])

@@ -172,12 +172,9 @@ def median_fill(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), median))
 
 
-def category_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """The distinct values of a categorical column; too many for columns is an error."""
-    found = df.select(column).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values and is no category")
-    return sorted(r[0] for r in found if r[0] is not None)
+def category_values(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of a categorical column, each of which becomes a column."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
 
 
 def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool = True) -> DataFrame:

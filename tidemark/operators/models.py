@@ -431,16 +431,21 @@ def forecast_gbt(
     is written to the shared folder, which keeps the plan short.
     """
     target = METRIC_TYPES[metric]
-    tail = windows.last_n_rows(region_daily, ["region"], 30)
+    days = windows.last_n_rows(region_daily, ["region"], 30).select("region", F.col("date").alias("day"))
+    first = days.groupBy("region").agg(F.min("day").alias("first_day"))
+    tail = region_daily.join(first, "region")
     last = lambda c: F.max_by(F.col(c).cast("double"), "date")
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date")))
-    ordered = F.array_sort(F.collect_list(F.struct("date", F.col(target).cast("double").alias("v"))))
+    recent = F.when(F.col("date") >= F.col("first_day"), F.struct("date", F.col(target).cast("double").alias("v")))
+    ordered = F.array_sort(F.collect_list(recent))
+    # A factor that a region never knew must not pass as a value the trees have not seen.
+    factor = lambda c: F.coalesce(known(c), F.raise_error(F.concat(F.lit(f"no {c} is known for "), F.first("region"))).cast("double"))
     fixed = {
         "usage_cpu": last("usage_cpu"),
         "usage_storage": last("usage_storage"),
         "users_active": last("users_active"),
-        "economic_index": F.coalesce(known("economic_index"), F.lit(0.0)),
-        "cloud_market_demand": F.coalesce(known("cloud_market_demand"), F.lit(0.0)),
+        "economic_index": factor("economic_index"),
+        "cloud_market_demand": factor("cloud_market_demand"),
         "lag1_cpu": last("usage_cpu"),
         "lag1_storage": last("usage_storage"),
         "lag1_users": last("users_active"),

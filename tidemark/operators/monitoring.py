@@ -1,55 +1,39 @@
-"""Accuracy estimates, model health, retraining needs, drift and alerts."""
+"""Measured accuracy, model health, retraining needs, drift and alerts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, ladder
+from ..functions.columns import ladder
 from . import windows
 
-# Base accuracy and stability bonus per model type.
-MODEL_PERFORMANCE = {"LSTM": (87.0, 3.0), "ARIMA": (82.0, 5.0), "XGBoost": (85.0, 2.0)}
-DEFAULT_MODEL = "LSTM"
 
+def measured_accuracy(
+    predictions: DataFrame, selection: DataFrame, region_daily: DataFrame, days: int = 30
+) -> DataFrame:
+    """Accuracy per region of its selected cpu and users models over the last ``days`` days.
 
-def _lookup(model: Column, position: int) -> Column:
-    table = F.create_map(
-        *[F.lit(x) for name, values in MODEL_PERFORMANCE.items() for x in (name, values[position])]
-    )
-    return F.coalesce(table[model], F.lit(MODEL_PERFORMANCE[DEFAULT_MODEL][position]))
-
-
-def simulated_accuracy(region_daily: DataFrame, selection: DataFrame, days: int = 30) -> DataFrame:
-    """Accuracy per region estimated from recent stability and the kind of model.
-
-    ``selection`` has (region, metric_type, model_type); unknown kinds count as LSTM.
+    Accuracy is 100 minus the mean percentage error; MAE and RMSE are those of the cpu model.
+    ``selection`` has (region, metric_type, model_type).
     """
-    recent = windows.last_n_rows(region_daily, ["region"], days)
-    spread = recent.groupBy("region").agg(
-        F.stddev_samp("usage_cpu").alias("cpu_std"), F.stddev_samp("users_active").alias("users_std")
+    latest = predictions.agg(F.max("prediction_date")).scalar()
+    used = selection.filter(F.col("metric_type").isin("cpu", "users")).select("region", "metric_type", "model_type")
+    recent = predictions.filter(F.col("prediction_date") > F.date_sub(latest, days)).join(
+        used, ["region", "metric_type", "model_type"]
     )
-    models = selection.groupBy("region").agg(
+    cpu = F.when(F.col("metric_type") == "cpu", F.col("absolute_error"))
+    errors = recent.groupBy("region").agg(
+        F.round(F.avg(100 - F.col("percentage_error")), 1).alias("accuracy"),
+        F.round(F.avg(cpu), 2).alias("mae"),
+        F.round(F.sqrt(F.avg(cpu * cpu)), 2).alias("rmse"),
+    )
+    models = used.groupBy("region").agg(
         F.max(F.when(F.col("metric_type") == "cpu", F.col("model_type"))).alias("cpu_model"),
         F.max(F.when(F.col("metric_type") == "users", F.col("model_type"))).alias("users_model"),
     )
     trend = windows.rolling_trend(region_daily, ["region"], days).select("region", "trend")
-
-    def accuracy(model: str, std: str, weight: float) -> Column:
-        penalty = F.least(F.col(std) * weight, F.lit(15.0))
-        return _lookup(F.col(model), 0) - penalty + _lookup(F.col(model), 1)
-
-    joined = spread.join(models, "region").join(trend, "region")
-    mean = (accuracy("cpu_model", "cpu_std", 0.5) + accuracy("users_model", "users_std", 0.01)) / 2
-    return joined.select(
-        "region",
-        F.round(clamp(mean, 60, 95), 1).alias("accuracy"),
-        F.round(12 + F.col("cpu_std") * 0.3, 2).alias("mae"),
-        F.round(15 + F.col("cpu_std") * 0.4, 2).alias("rmse"),
-        "trend",
-        "cpu_model",
-        "users_model",
-    )
+    return errors.join(trend, "region").join(models, "region")
 
 
 def health_summary(accuracy: DataFrame) -> DataFrame:

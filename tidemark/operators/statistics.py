@@ -24,21 +24,22 @@ def corr_matrix(df: DataFrame, cols: list[str] = NUMERIC) -> DataFrame:
     return correlation_table(df, cols)
 
 
-def rank_columns(df: DataFrame, cols: list[str], **sizes: int) -> DataFrame:
-    """The columns replaced by their average ranks among the complete rows.
+def rank_columns(df: DataFrame, cols: list[str], keys: list[str] | None = None, **sizes: int) -> DataFrame:
+    """The columns replaced by their average ranks among the complete rows (of a group of ``keys``).
 
     Ranks come from value counts joined back on the value. Each column's rank table is
     written on its own, so its size is known: a column of few values is broadcast, and
     only the others shuffle by value, where AQE splits a value that is too hot.
     """
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna("any")
-    positions = value_positions(complete, [], cols, **sizes)
+    keys = keys or []
+    complete = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).dropna("any")
+    positions = value_positions(complete, keys, cols, **sizes)
     out = complete
     for c in cols:
         rank = (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}")
-        table = positions.filter(F.col("column") == c).select(F.col("value").alias(c), rank)
-        out = out.join(materialize(table, "value-ranks"), c)
-    return out.select(*[F.col(f"rank_{c}").alias(c) for c in cols])
+        table = positions.filter(F.col("column") == c).select(*keys, F.col("value").alias(c), rank)
+        out = out.join(materialize(table, "value-ranks"), [*keys, c])
+    return out.select(*keys, *[F.col(f"rank_{c}").alias(c) for c in cols])
 
 
 def spearman_matrix(df: DataFrame, cols: list[str] = NUMERIC, **sizes: int) -> DataFrame:
@@ -46,76 +47,77 @@ def spearman_matrix(df: DataFrame, cols: list[str] = NUMERIC, **sizes: int) -> D
     return correlation_table(rank_columns(df, cols, **sizes), cols)
 
 
-def _kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
+def _kendall_pair(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Concordant and discordant pairs without listing pairs.
 
     Every pair of different x meets in exactly one dyadic block of the x order, one
     point in its left half and one in its right. Within a block ordered by y, running
     counts of left points give, for each right point, how many lie below and above it.
+    Ranks are positions among the counted values, so no window spans a whole column.
     """
-    points = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna("any")
-    ranked = points.select(
-        F.dense_rank().over(Window.orderBy("x")).cast("bigint").alias("x"),
-        F.dense_rank().over(Window.orderBy("y")).cast("bigint").alias("y"),
+    points = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    positions = materialize(value_positions(points, keys, ["x", "y"]), "kendall-ranks")
+    place = lambda c: positions.filter(F.col("column") == c).select(*keys, F.col("value").alias(c), F.col("below").alias(f"{c}_rank"))
+    ranked = points.join(place("x"), [*keys, "x"]).join(place("y"), [*keys, "y"]).select(
+        *keys, F.col("x_rank").alias("x"), F.col("y_rank").alias("y")
     )
-    levels = ranked.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("level"))
+    levels = ranked.select(*keys, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("level"))
     half = F.floor(F.col("x") / F.pow(F.lit(2.0), "level"))
-    blocks = levels.select(
-        "level",
-        F.floor(half / 2).alias("block"),
-        (half % 2 == 0).cast("bigint").alias("left"),
-        "y",
-    )
-    w = Window.partitionBy("level", "block").orderBy("y")
-    below = F.sum("left").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    above = F.sum("left").over(w.rangeBetween(1, Window.unboundedFollowing))
+    blocks = levels.select(*keys, "level", F.floor(half / 2).alias("block"), (half % 2).cast("bigint").alias("right"), "y")
+    left = 1 - F.col("right")
+    w = Window.partitionBy(*keys, "level", "block").orderBy("y")
+    below = F.sum(left).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    above = F.sum(left).over(w.rangeBetween(1, Window.unboundedFollowing))
     counted = blocks.select(
-        "left", F.coalesce(below, F.lit(0)).alias("below"), F.coalesce(above, F.lit(0)).alias("above")
+        *keys, "right", F.coalesce(below, F.lit(0)).alias("below"), F.coalesce(above, F.lit(0)).alias("above")
     )
-    signs = counted.filter(F.col("left") == 0).agg(
-        F.sum("below").alias("concordant"), F.sum("above").alias("discordant")
+    signs = counted.filter("right = 1").groupBy(*keys).agg(F.sum("below").alias("concordant"), F.sum("above").alias("discordant"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    tied = lambda c: positions.filter(F.col("column") == c).groupBy(*keys).agg(
+        F.sum(pairs).alias(f"tied_{c}"), F.sum("n").alias(f"n_{c}")
     )
+    total = F.col("n_x") * (F.col("n_x") - 1) / 2
+    spread = F.sqrt((total - F.col("tied_x")) * (total - F.col("tied_y")))
+    found = tied("x").join(tied("y"), keys).join(signs, keys, "left")
+    surplus = F.coalesce("concordant", F.lit(0)) - F.coalesce("discordant", F.lit(0))
+    return found.select(*keys, F.lit(x).alias("row"), F.lit(y).alias("column"), F.col("n_x").alias("n"), ratio(surplus, spread).alias("correlation"))
 
-    def tied(c: str) -> DataFrame:
-        return ranked.groupBy(c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2))
-
-    total = ranked.agg((F.count("*") * (F.count("*") - 1) / 2)).scalar()
-    spread = F.sqrt((total - tied("x").scalar()) * (total - tied("y").scalar()))
-    return signs.select(
-        F.lit(x).alias("row"),
-        F.lit(y).alias("column"),
-        ratio(F.col("concordant") - F.col("discordant"), spread).alias("correlation"),
-    )
 
+def kendall_matrix(
+    daily: DataFrame, cols: list[str] = NUMERIC, keys: list[str] | None = None, min_rows: int = 0
+) -> DataFrame:
+    """Kendall tau-b for each pair of columns over the complete rows of a daily table (by group).
 
-def kendall_matrix(daily: DataFrame, cols: list[str] = NUMERIC) -> DataFrame:
-    """Kendall tau-b for each pair of columns over the complete rows of a daily table.
-
-    One row per date bounds the windows by the calendar.
+    One row per date bounds the blocks by the calendar.
     """
-    daily = daily.select(*cols).dropna("any")
+    group = keys or ["_all"]
+    daily = daily.select(*keys, *cols) if keys else daily.select(F.lit(0).alias("_all"), *cols)
+    daily = materialize(daily.dropna("any"), "kendall-rows")
     out = None
     for i, x in enumerate(cols):
         for y in cols[i + 1 :]:
-            pair = _kendall_pair(daily, x, y)
+            pair = _kendall_pair(daily, x, y, group)
             out = pair if out is None else out.unionByName(pair)
-    return out
+    return out.filter(F.col("n") > min_rows).drop("n", "_all")
 
 
 def corr_by(
-    df: DataFrame, key: Column | str, cols: list[str] = NUMERIC, groups: int = 6, min_rows: int = 3
+    df: DataFrame, key: Column | str, cols: list[str] = NUMERIC, method: str = "pearson", min_rows: int = 3
 ) -> DataFrame:
-    """Pearson matrices of the first ``groups`` groups that have more than ``min_rows`` rows.
+    """Correlation matrices of all groups that have more than ``min_rows`` rows.
 
-    All groups are correlated in one pass; showing six of them is part of the report this
-    feeds. A group counts as many rows as its best-filled column.
+    Pearson takes one pass for all groups, and a group counts as many rows as its best-filled
+    column. Spearman ranks the group's complete rows first. Kendall is for daily tables.
     """
     name = "group"
-    keyed = df.withColumn(name, key if isinstance(key, Column) else F.col(key))
-    table = materialize(correlation_table(keyed, cols, [name]), "group-correlations")
-    first = table.groupBy(name).agg(F.max("n").alias("rows")).orderBy(name).limit(groups)
-    kept = first.filter(F.col("rows") > min_rows).select(name)
-    return table.join(F.broadcast(kept), name)
+    keyed = df.withColumn(name, key if isinstance(key, Column) else F.col(key)).select(name, *cols)
+    if method == "kendall":
+        return kendall_matrix(keyed, cols, [name], min_rows)
+    if method == "spearman":
+        keyed = rank_columns(keyed, cols, [name])
+    table = correlation_table(keyed, cols, [name])
+    rows = Window.partitionBy(name)
+    return table.withColumn("rows", F.max("n").over(rows)).filter(F.col("rows") > min_rows).drop("rows")
 
 
 def corr_summary(correlations: DataFrame) -> DataFrame:

@@ -396,7 +396,7 @@ CALENDAR = """calendar AS (SELECT region, CAST(unnest(generate_series(min(date),
     f"WITH {CALENDAR}\n RETURN SELECT region, date FROM calendar EXCEPT SELECT region, date FROM usage",
 )
 def _(t):
-    return joins.missing_days(t.usage, ["region"])
+    return joins.missing_days(t.daily_series, ["region"])
 
 
 PREDICTIONS = (
@@ -408,17 +408,17 @@ PREDICTIONS = (
 @query(
     "j_6_forecast_vs_actual",
     PREDICTIONS,
-    "SELECT * FROM preds WHERE model_type = 'SeasonalNaive'",
+    "SELECT * FROM preds",
 )
 def _(t):
-    forecast = t.predictions.filter(F.col("model_type") == "SeasonalNaive").select(
+    forecast = t.predictions.select(
         "region",
         "model_type",
         "metric_type",
         F.col("prediction_date").alias("date"),
         F.col("predicted_value").alias("predicted"),
     )
-    return joins.forecast_vs_actual(forecast, evaluation.long_series(t.region_daily))
+    return joins.forecast_vs_actual(forecast, evaluation.long_series(t.daily_series))
 
 
 @query(

@@ -4,9 +4,9 @@ A query declares its output columns once. ``name:f`` is a double rounded to four
 digits, ``name:i`` a bigint, and a bare name is kept as it is. The declaration shapes
 both the DataFrame and the SQL, so the two always agree on names and types.
 
-Means of four-digit values often lie exactly between two rounded values, where the
-order of additions would decide the last digit; a small shift before rounding makes
-such ties go up in every engine.
+Means of four-digit values often lie exactly between two rounded values, where the order
+of additions would decide the last digit. Both engines therefore round half up in decimal,
+after nine digits have settled what addition left behind.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from ..sources.tables import Tables
 from . import views
 
 
-TIE_SHIFT = 3.7e-7
+DECIMAL = "decimal(38,9)"
+#: Beyond this size a double has no nine digits to settle.
+LARGE = 1e15
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,9 @@ class Query:
         for name, kind in self.columns:
             c = F.col(f"`{name}`")
             if kind == "f":
-                c = F.round(c.cast("double") + TIE_SHIFT, 4) + F.lit(0.0)
+                c = c.cast("double")
+                settled = F.round(c.cast(DECIMAL), 4).cast("double")
+                c = F.when(F.abs(c) < LARGE, settled).otherwise(c) + F.lit(0.0)
             elif kind == "i":
                 c = c.cast("bigint")
             out.append(c.alias(name))
@@ -52,7 +56,9 @@ class Query:
         out = []
         for name, kind in self.columns:
             if kind == "f":
-                out.append(f'round(CAST("{name}" AS DOUBLE) + {TIE_SHIFT}, 4) + 0.0 AS "{name}"')
+                c = f'CAST("{name}" AS DOUBLE)'
+                settled = f"CAST(round(CAST({c} AS {DECIMAL}), 4) AS DOUBLE)"
+                out.append(f'CASE WHEN abs({c}) < {LARGE} THEN {settled} ELSE {c} END + 0.0 AS "{name}"')
             elif kind == "i":
                 out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
             else:

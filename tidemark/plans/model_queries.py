@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, models
+from ..sources.schemas import METRIC_TYPES
 from .catalog import query
 
 
@@ -32,15 +35,24 @@ def _(t):
     return models.forecast_ar(series(t))
 
 
+def per_metric(build):
+    """The rows of ``build(metric)`` of every metric."""
+    parts = [build(metric) for metric in METRIC_TYPES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("m_6_fit_gbt", "region metric_type rmse:f mae:f mape:f r2:f n:i")
 def _(t):
-    return models.fit_gbt(t.daily_series_mean, "cpu")[1]
+    return per_metric(lambda metric: models.fit_gbt(t.daily_series_mean, metric)[1])
 
 
 @query("m_7_forecast_gbt", FORECAST)
 def _(t):
-    model, _, regions = models.fit_gbt(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
-    return models.forecast_gbt(t.daily_series_mean, model, "cpu", regions)
+    def forecast(metric):
+        model, _, regions = models.fit_gbt(t.daily_series_mean, metric)
+        return models.forecast_gbt(t.daily_series_mean, model, metric, regions)
+
+    return per_metric(forecast)
 
 
 @query("m_8_fit_window_linear", "region metric_type steps:i rmse:f mae:f mape:f")
@@ -67,27 +79,28 @@ def _(t):
     return models.cross_validate(series(t))
 
 
-def cpu_importance(t):
-    model, _, regions = models.fit_gbt(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
-    return models.feature_importance(model, "cpu", regions, t.spark)
+def importance(t, metric):
+    model, _, regions = models.fit_gbt(t.daily_series_mean, metric)
+    return models.feature_importance(model, metric, regions, t.spark)
 
 
-@query("m_19_feature_importance", "feature importance:f")
+@query("m_19_feature_importance", "metric_type feature importance:f")
 def _(t):
-    return cpu_importance(t)
+    return per_metric(lambda metric: importance(t, metric).withColumn("metric_type", F.lit(metric)))
 
 
-@query("k_6_feature_importance_rank", "position:i feature importance:f")
+@query("k_6_feature_importance_rank", "metric_type position:i feature importance:f")
 def _(t):
-    return models.feature_importance_rank(cpu_importance(t), 10)
+    return per_metric(
+        lambda metric: models.feature_importance_rank(importance(t, metric), 10).withColumn("metric_type", F.lit(metric))
+    )
 
 
 @query("m_20_select_best_fitted", "region metric_type model_type rmse:f mae:f mape:f")
 def _(t):
-    trained = models.train_all(t.daily_series_mean, "cpu", models.TREE_GRID[:1])
-    return evaluation.select_best(trained["scores"])
+    return per_metric(lambda metric: evaluation.select_best(models.train_all(t.daily_series_mean, metric)["scores"]))
 
 
 @query("m_21_future_users", "region metric_type model_type step:i date predicted:f")
 def _(t):
-    return models.future_metric(t.daily_series, "users", 30, models.TREE_GRID[:1])
+    return models.future_metric(t.daily_series, "users", 30)

@@ -162,10 +162,10 @@ def _(t):
 @query(
     "m_15_residuals",
     "region model_type metric_type prediction_date actual_value:f predicted_value:f residual:f",
-    "SELECT *, actual_value - predicted_value AS residual FROM preds WHERE metric_type = 'cpu'",
+    "SELECT *, actual_value - predicted_value AS residual FROM preds",
 )
 def _(t):
-    return evaluation.residuals(t.predictions.filter(F.col("metric_type") == "cpu"))
+    return evaluation.residuals(t.predictions)
 
 
 TOTAL = """scores AS (SELECT region, metric_type, model_type, sqrt(avg(absolute_error * absolute_error)) AS rmse,
@@ -239,7 +239,7 @@ def _(t):
     """SELECT m.data_hash, m.data_size, m.data_size - p.data_size AS new_records,
        (m.data_size - p.data_size) / p.data_size * 100 AS percent_change, FALSE AS first_run,
        m.data_hash <> p.data_hash AS hash_changed,
-       m.data_hash <> p.data_hash AND (m.data_size - p.data_size) / p.data_size * 100 >= 0.5 AS training_triggered
+       m.data_hash <> p.data_hash AND (m.data_size - p.data_size) / p.data_size * 100 >= 5 AS training_triggered
 FROM (SELECT * FROM monitoring ORDER BY check_date DESC LIMIT 1) m
 CROSS JOIN (SELECT * FROM monitoring WHERE check_date < DATE '2001-09-30' ORDER BY check_date DESC LIMIT 1) p""",
 )
@@ -248,7 +248,7 @@ def _(t):
         F.sum("users_active").cast("string").alias("data_hash"), F.count("*").alias("data_size")
     )
     known = t.monitoring.filter(F.col("check_date") < F.lit("2001-09-30").cast("date"))
-    return registry.check_changes(now, known, threshold=0.5)
+    return registry.check_changes(now, known)
 
 
 ACTIVE_SQL = """SELECT region, metric_type, model_type, rmse, mae, mape, training_date,
@@ -453,21 +453,23 @@ def _(t):
 
 # --- monitoring -------------------------------------------------------------------
 
-ACCURACY_SQL = f"""SELECT s.region, round(least(greatest((87 - least(cpu_std * 0.5, 15) + 3 + 87 - least(users_std * 0.01, 15) + 3) / 2, 60), 95), 1) AS accuracy,
-       round(12 + cpu_std * 0.3, 2) AS mae, round(15 + cpu_std * 0.4, 2) AS rmse, trend, cpu_model, users_model
-FROM (SELECT region, stddev_samp(usage_cpu) AS cpu_std, stddev_samp(users_active) AS users_std
-      FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY date DESC) AS rn FROM rd) WHERE rn <= 30 GROUP BY region) s
-JOIN (SELECT region, trend FROM ({TREND_SQL})) t ON s.region = t.region
+ACCURACY_SQL = f"""SELECT a.region, accuracy, mae, rmse, trend, cpu_model, users_model FROM (
+  SELECT region, round(avg(100 - percentage_error), 1) AS accuracy,
+         round(avg(absolute_error) FILTER (WHERE metric_type = 'cpu'), 2) AS mae,
+         round(sqrt(avg(absolute_error * absolute_error) FILTER (WHERE metric_type = 'cpu')), 2) AS rmse
+  FROM preds JOIN best_model USING (region, metric_type, model_type)
+  WHERE metric_type IN ('cpu', 'users') AND prediction_date > (SELECT max(prediction_date) FROM preds) - 30 GROUP BY region) a
+JOIN (SELECT region, trend FROM ({TREND_SQL})) t ON a.region = t.region
 JOIN (SELECT region, max(model_type) FILTER (WHERE metric_type = 'cpu') AS cpu_model,
-             max(model_type) FILTER (WHERE metric_type = 'users') AS users_model FROM best_model GROUP BY region) m ON s.region = m.region"""
+             max(model_type) FILTER (WHERE metric_type = 'users') AS users_model FROM best_model GROUP BY region) m ON a.region = m.region"""
 
 
 def accuracy(t):
-    return monitoring.simulated_accuracy(t.daily_series, evaluation.best_models(t.registry))
+    return monitoring.measured_accuracy(t.predictions, evaluation.best_models(t.registry), t.daily_series)
 
 
 @query(
-    "mon_1_simulated_accuracy",
+    "mon_1_measured_accuracy",
     "region accuracy:f mae:f rmse:f trend cpu_model users_model",
     ACCURACY_SQL,
 )
@@ -490,12 +492,12 @@ def _(t):
 @query(
     "mon_3_retrain_list",
     "region reason priority",
-    f"""SELECT region, CASE WHEN accuracy < 82 THEN 'Accuracy below threshold: ' ELSE 'Declining accuracy trend: ' END
-         || format('{{:.1f}}%', accuracy) AS reason, CASE WHEN accuracy < 82 THEN 'HIGH' ELSE 'MEDIUM' END AS priority
-FROM ({ACCURACY_SQL}) WHERE accuracy < 82 OR (trend = 'declining' AND accuracy < 90)""",
+    f"""SELECT region, CASE WHEN accuracy < 70 THEN 'Accuracy below threshold: ' ELSE 'Declining accuracy trend: ' END
+         || format('{{:.1f}}%', accuracy) AS reason, CASE WHEN accuracy < 70 THEN 'HIGH' ELSE 'MEDIUM' END AS priority
+FROM ({ACCURACY_SQL}) WHERE accuracy < 70 OR (trend = 'declining' AND accuracy < 80)""",
 )
 def _(t):
-    return monitoring.retrain_list(accuracy(t), high=82.0, declining=90.0)
+    return monitoring.retrain_list(accuracy(t))
 
 
 LAST_WEEK_SQL = """SELECT *, CASE WHEN accuracy >= 85 THEN 'healthy' WHEN accuracy >= 75 THEN 'warning' ELSE 'critical' END AS status FROM (
@@ -509,7 +511,7 @@ LAST_WEEK_SQL = """SELECT *, CASE WHEN accuracy >= 85 THEN 'healthy' WHEN accura
     LAST_WEEK_SQL,
 )
 def _(t):
-    return monitoring.accuracy_last_days(t.kept_predictions)
+    return monitoring.accuracy_last_days(t.predictions)
 
 
 @query(
@@ -518,7 +520,7 @@ def _(t):
     f"SELECT region, model_type, metric_type, accuracy, 85 AS threshold, accuracy < 85 AS needs_retraining FROM ({LAST_WEEK_SQL})",
 )
 def _(t):
-    return monitoring.drift_flag(monitoring.accuracy_last_days(t.kept_predictions))
+    return monitoring.drift_flag(monitoring.accuracy_last_days(t.predictions))
 
 
 def plan(t, **options):
@@ -529,12 +531,12 @@ def plan(t, **options):
     "mon_6_alerts",
     "kind region message",
     f"""SELECT 'accuracy' AS kind, region, 'Low accuracy in ' || region || format(': {{:.1f}}%', accuracy) AS message
-FROM ({ACCURACY_SQL}) WHERE accuracy < 83
+FROM ({ACCURACY_SQL}) WHERE accuracy < 75
 UNION ALL SELECT 'capacity', region, 'High capacity risk in ' || region || format(': {{:.1f}}% utilization', peak_pct)
 FROM overall WHERE overall_risk = 'HIGH'""",
 )
 def _(t):
-    return monitoring.alerts(accuracy(t), plan(t), threshold=83.0)
+    return monitoring.alerts(accuracy(t), plan(t))
 
 
 # --- capacity ---------------------------------------------------------------------

@@ -62,19 +62,19 @@ def kendall_sql(a: str, b: str) -> str:
          (SELECT coalesce(sum(c * (c - 1) / 2), 0) FROM (SELECT count(*) AS c FROM points GROUP BY {b})) AS n2)"""
 
 
-KENDALL = ["usage_cpu", "users_active", "cloud_market_demand"]
 
 
 @query(
     "s_3_corr_matrix_kendall",
     "row column correlation:f",
-    "WITH points AS (SELECT date, round(usage_cpu, 6) AS usage_cpu, round(users_active, 6) AS users_active, "
-    "round(cloud_market_demand, 6) AS cloud_market_demand FROM daily WHERE cloud_market_demand IS NOT NULL)\n RETURN "
-    + "\nUNION ALL ".join(kendall_sql(a, b) for i, a in enumerate(KENDALL) for b in KENDALL[i + 1 :]),
+    "WITH points AS (SELECT date, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC)
+    + " FROM daily WHERE cloud_market_demand IS NOT NULL AND economic_index IS NOT NULL)\n RETURN "
+    + "\nUNION ALL ".join(kendall_sql(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]),
 )
 def _(t):
-    daily = t.daily.select("date", *[F.round(c, 6).alias(c) for c in KENDALL])
-    return statistics.kendall_matrix(materialize(daily, "daily"), KENDALL)
+    daily = t.daily.select("date", *[F.round(c, 6).alias(c) for c in NUMERIC])
+    return statistics.kendall_matrix(daily, NUMERIC)
 
 
 @query(
@@ -98,13 +98,7 @@ def _(t):
 @query(
     "s_4_corr_by_month",
     "group " + CORR,
-    corr_long_sql(
-        "fact",
-        NUMERIC,
-        "strftime(date, '%Y-%m')",
-        """WHERE strftime(date, '%Y-%m') IN (SELECT m FROM (SELECT DISTINCT strftime(date, '%Y-%m') AS m FROM usage)
-       ORDER BY m LIMIT 6)""",
-    ),
+    corr_long_sql("fact", NUMERIC, "strftime(date, '%Y-%m')"),
 )
 def _(t):
     return statistics.corr_by(t.fact, F.date_format("date", "yyyy-MM"))
@@ -230,22 +224,20 @@ def _(t):
 
 @query(
     "s_15_ljung_box",
-    "region metric_type mean:f std:f n:i q_statistic:f",
-    "WITH res AS (SELECT region, metric_type, prediction_date, actual_value - predicted_value AS e0 FROM preds WHERE model_type = 'WeeklyMean'),\n"
-    "centred AS (SELECT *, e0 - avg(e0) OVER (PARTITION BY region, metric_type) AS e FROM res),\n"
+    "region metric_type model_type mean:f std:f n:i q_statistic:f",
+    "WITH res AS (SELECT region, metric_type, model_type, prediction_date, actual_value - predicted_value AS e0 FROM preds),\n"
+    "centred AS (SELECT *, e0 - avg(e0) OVER (PARTITION BY region, metric_type, model_type) AS e FROM res),\n"
     "lagged AS (SELECT *, "
     + ", ".join(f"lag(e, {k}) OVER w AS e{k}" for k in range(1, 11))
-    + " FROM centred WINDOW w AS (PARTITION BY region, metric_type ORDER BY prediction_date))\n"
-    + "RETURN SELECT region, metric_type, avg(e0) AS mean, stddev_samp(e0) AS std, count(*) AS n, "
+    + " FROM centred WINDOW w AS (PARTITION BY region, metric_type, model_type ORDER BY prediction_date))\n"
+    + "RETURN SELECT region, metric_type, model_type, avg(e0) AS mean, stddev_samp(e0) AS std, count(*) AS n, "
     + "count(*) * (count(*) + 2) * ("
     + " + ".join(f"(sum(e * e{k}) / sum(e * e)) ** 2 / (count(*) - {k})" for k in range(1, 11))
-    + ") AS q_statistic FROM lagged GROUP BY region, metric_type",
+    + ") AS q_statistic FROM lagged GROUP BY region, metric_type, model_type",
 )
 def _(t):
-    weekly = t.predictions.filter(F.col("model_type") == "WeeklyMean")
-    return statistics.ljung_box(
-        evaluation.residuals(weekly), ["region", "metric_type"], "residual", "prediction_date"
-    )
+    keys = ["region", "metric_type", "model_type"]
+    return statistics.ljung_box(evaluation.residuals(t.predictions), keys, "residual", "prediction_date")
 
 
 @query(

@@ -190,14 +190,26 @@ def _(t):
     return win.iqr_anomalies(t.region_daily, KEYS, "usage_cpu")
 
 
+OUTLIERS = """SELECT date, region, u.resource_type, usage_storage, lower, upper FROM usage u
+JOIN (SELECT resource_type, q1 - {k} * (q3 - q1) AS lower, q3 + {k} * (q3 - q1) AS upper FROM (
+        SELECT resource_type, quantile_cont(usage_storage, 0.25) AS q1, quantile_cont(usage_storage, 0.75) AS q3
+        FROM usage GROUP BY resource_type)) b ON u.resource_type = b.resource_type
+WHERE usage_storage < lower OR usage_storage > upper"""
+
+
+@query(
+    "w_16_iqr_outliers_default",
+    "date region resource_type usage_storage:f lower:f upper:f",
+    OUTLIERS.format(k=1.5),
+)
+def _(t):
+    return win.iqr_outliers(t.usage, ["resource_type"], "usage_storage")
+
+
 @query(
     "w_16_iqr_outliers",
     "date region resource_type usage_storage:f lower:f upper:f",
-    """SELECT date, region, u.resource_type, usage_storage, lower, upper FROM usage u
-JOIN (SELECT resource_type, q1 - 0.5 * (q3 - q1) AS lower, q3 + 0.5 * (q3 - q1) AS upper FROM (
-        SELECT resource_type, quantile_cont(usage_storage, 0.25) AS q1, quantile_cont(usage_storage, 0.75) AS q3
-        FROM usage GROUP BY resource_type)) b ON u.resource_type = b.resource_type
-WHERE usage_storage < lower OR usage_storage > upper""",
+    OUTLIERS.format(k=0.5),
 )
 def _(t):
     return win.iqr_outliers(t.usage, ["resource_type"], "usage_storage", k=0.5)
@@ -298,7 +310,7 @@ filled AS (SELECT c.region, c.date, r.usage_cpu, r.users_active FROM calendar c
     f"WITH {CALENDAR}\n RETURN SELECT * FROM filled",
 )
 def _(t):
-    return win.as_daily_freq(t.region_daily, KEYS)
+    return win.as_daily_freq(t.daily_series, KEYS)
 
 
 @query(
@@ -310,7 +322,7 @@ def _(t):
 WINDOW w AS (PARTITION BY region ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    daily = win.as_daily_freq(t.region_daily, KEYS)
+    daily = win.as_daily_freq(t.daily_series, KEYS)
     return win.forward_fill(daily, KEYS, ["usage_cpu", "users_active"])
 
 

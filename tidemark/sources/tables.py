@@ -119,11 +119,6 @@ class Tables:
     @cached_property
     def predictions(self) -> DataFrame:
         """One-step predictions of the baseline models against the actual values."""
-        return evaluation.baseline_predictions(self.region_daily)
-
-    @cached_property
-    def kept_predictions(self) -> DataFrame:
-        """The same over the written daily series, for operators that read it twice."""
         return evaluation.baseline_predictions(self.daily_series)
 
     @cached_property
