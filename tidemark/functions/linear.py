@@ -91,39 +91,38 @@ def solve_least_squares(moments: DataFrame, keys: list[str], use: str | None = N
 AR_STATE = ["coef", "p", "d", "q", "recent", "shocks", "value", "slope"]
 
 
-def recursive_path(coef, p, d, q, recent, shocks, level, slope, steps) -> list[float]:
-    """Levels of one series for ``steps`` days, predictions fed back as lags.
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _pushed(values: Column, first: Column) -> Column:
+    """``first`` in front of the values, of which the last falls out."""
+    return F.slice(F.concat(F.array(first), values), F.lit(1), F.size(values))
+
+
+def ar_path(coef, p, d, q, recent, shocks, value, slope, steps) -> Column:
+    """Levels of each row's series for ``steps`` days, predictions fed back as lags.
 
     Future residuals are zero; the differenced predictions are summed up ``d`` times.
     """
-    constant, rest = (coef[0], list(coef[1:])) if d == 0 else (0.0, list(coef))
-    phi, theta = rest[:p], rest[p : p + q]
-    values, residuals, out = list(recent), list(shocks), []
-    for _ in range(steps):
-        following = constant + sum(a * b for a, b in zip(phi, values))
-        following += sum(a * b for a, b in zip(theta, residuals))
-        values = [following, *values[:-1]]
-        residuals = [0.0, *residuals[:-1]]
-        if d == 2:
-            slope += following
-            level += slope
-        else:
-            level = following if d == 0 else level + following
-        out.append(float(level))
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def ar_path(
-    coef: pd.Series,
-    p: pd.Series,
-    d: pd.Series,
-    q: pd.Series,
-    recent: pd.Series,
-    shocks: pd.Series,
-    value: pd.Series,
-    slope: pd.Series,
-    steps: pd.Series,
-) -> pd.Series:
-    rows = zip(coef, p, d, q, recent, shocks, value, slope, steps)
-    return pd.Series([recursive_path(*row) for row in rows])
+    coef, p, d, q = (F.col(c) for c in (coef, p, d, q))
+    constant = F.when(d == 0, coef[0]).otherwise(0.0)
+    first = F.when(d == 0, 2).otherwise(1)
+    phi, theta = F.slice(coef, first, p), F.slice(coef, first + p, q)
+    start = F.struct(
+        F.col(recent).alias("values"), F.col(shocks).alias("residuals"),
+        F.col(value).cast("double").alias("level"), F.col(slope).cast("double").alias("slope"),
+        F.array().cast("array<double>").alias("out"),
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        following = constant + _dot(phi, F.slice(s["values"], F.lit(1), p)) + _dot(theta, F.slice(s["residuals"], F.lit(1), q))
+        steeper = F.when(d == 2, s["slope"] + following).otherwise(s["slope"])
+        level = F.when(d == 2, s["level"] + steeper).when(d == 0, following).otherwise(s["level"] + following)
+        return F.struct(
+            _pushed(s["values"], following).alias("values"), _pushed(s["residuals"], F.lit(0.0)).alias("residuals"),
+            level.alias("level"), steeper.alias("slope"), F.concat(s["out"], F.array(level)).alias("out"),
+        )
+
+    days = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(days, start, step, lambda s: s["out"])

@@ -198,12 +198,18 @@ def ar_order_by_aic(
     return _best(fits, keys, [*ORDER, "aic", "n"], by="aic")
 
 
-def forecast_ar(series: DataFrame, horizon: int = 30, orders=None) -> DataFrame:
-    """Future values of every series from its best order, never below zero."""
-    fits, design = fit_ar(with_train_end(series, SERIES), SERIES, orders)
-    scores = score_ar(fits, design, SERIES)
-    best = _best(fits.join(scores.drop("n"), [*SERIES, *ORDER]), SERIES, [*ORDER, "coef", "rmse"])
-    paths = _forecast(best, _with_length(design, SERIES), SERIES, F.col("length"), horizon)
+def forecast_ar(series: DataFrame, horizon: int = 30, orders=None, best: DataFrame | None = None) -> DataFrame:
+    """Future values of every series from its best order, never below zero.
+
+    ``best`` are the chosen models of ``best_ar``, if they are fitted already.
+    """
+    orders = orders or ORDERS
+    best = best_ar(series, SERIES, orders) if best is None else best
+    max_p = max(max(p for p, _, _ in orders), 1)
+    ds = sorted({d for _, d, _ in orders})
+    design = _design(with_train_end(series, SERIES), SERIES, ds, max_p, max(q for _, _, q in orders))
+    chosen = best.select(*SERIES, *ORDER, "coef")
+    paths = _forecast(chosen, _with_length(design, SERIES), SERIES, F.col("length"), horizon)
     return paths.select(
         *SERIES,
         "step",
@@ -507,6 +513,7 @@ def train_all(region_daily: DataFrame, metric: str, grid=None) -> dict[str, obje
     return {
         "series": series,
         "scores": materialize(scores, "scores"),
+        "ar": ar,
         "window": window,
         "tree": tree,
         "regions": regions,
@@ -518,7 +525,7 @@ def future_metric(region_daily: DataFrame, metric: str, horizon: int = 30, grid=
     trained = train_all(region_daily, metric, grid)
     best = evaluation.select_best(trained["scores"])
     paths = (
-        forecast_ar(trained["series"], horizon)
+        forecast_ar(trained["series"], horizon, best=trained["ar"])
         .withColumn("model_type", F.lit("ARIMA"))
         .unionByName(
             forecast_window(trained["series"], trained["window"], horizon).withColumn(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-METRIC_LIST = "usage_cpu usage_storage users_active".split()
-
 VIEWS: dict[str, str] = {
     "usage": """
 SELECT CAST(l.l_shipdate AS DATE) AS date, r.r_name AS region,

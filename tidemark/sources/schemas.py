@@ -9,43 +9,66 @@ RESOURCES = ["VM", "Storage", "Container"]
 METRIC_TYPES = {"cpu": "usage_cpu", "users": "users_active", "storage": "usage_storage"}
 MODEL_TYPES = ["SeasonalNaive", "Naive", "WeeklyMean"]
 
-
-_TYPES = {
-    "date": T.DateType(),
-    "string": T.StringType(),
-    "double": T.DoubleType(),
-    "int": T.IntegerType(),
-    "bigint": T.LongType(),
-    "boolean": T.BooleanType(),
-}
-
-
-def _schema(text: str) -> T.StructType:
-    pairs = [part.split() for part in text.split(",")]
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
-
-
-USAGE = _schema(
-    "date date, region string, resource_type string, usage_cpu double, "
-    "usage_storage double, users_active int, economic_index double, "
-    "cloud_market_demand double, holiday int"
+USAGE = (
+    T.StructType()
+    .add("date", "date")
+    .add("region", "string")
+    .add("resource_type", "string")
+    .add("usage_cpu", "double")
+    .add("usage_storage", "double")
+    .add("users_active", "integer")
+    .add("economic_index", "double")
+    .add("cloud_market_demand", "double")
+    .add("holiday", "integer")
+)
+EXTERNAL = (
+    T.StructType()
+    .add("date", "date")
+    .add("economic_index", "double")
+    .add("cloud_market_demand", "double")
+    .add("holiday", "integer")
 )
-EXTERNAL = _schema("date date, economic_index double, cloud_market_demand double, holiday int")
-MODEL_PERFORMANCE = _schema(
-    "region string, metric_type string, model_type string, rmse double, mae double, "
-    "mape double, training_date date, data_hash string, data_size bigint, is_active boolean"
+MODEL_PERFORMANCE = (
+    T.StructType()
+    .add("region", "string")
+    .add("metric_type", "string")
+    .add("model_type", "string")
+    .add("rmse", "double")
+    .add("mae", "double")
+    .add("mape", "double")
+    .add("training_date", "date")
+    .add("data_hash", "string")
+    .add("data_size", "long")
+    .add("is_active", "boolean")
 )
-DATA_MONITORING = _schema(
-    "check_date date, data_hash string, data_size bigint, new_records bigint, "
-    "training_triggered boolean"
+DATA_MONITORING = (
+    T.StructType()
+    .add("check_date", "date")
+    .add("data_hash", "string")
+    .add("data_size", "long")
+    .add("new_records", "long")
+    .add("training_triggered", "boolean")
 )
-BEST_MODEL = _schema(
-    "region string, metric_type string, model_type string, rmse double, mae double, "
-    "mape double, updated_date date"
+BEST_MODEL = (
+    T.StructType()
+    .add("region", "string")
+    .add("metric_type", "string")
+    .add("model_type", "string")
+    .add("rmse", "double")
+    .add("mae", "double")
+    .add("mape", "double")
+    .add("updated_date", "date")
 )
-PREDICTION_ACCURACY = _schema(
-    "region string, model_type string, metric_type string, prediction_date date, "
-    "predicted_value double, actual_value double, absolute_error double, percentage_error double"
+PREDICTION_ACCURACY = (
+    T.StructType()
+    .add("region", "string")
+    .add("model_type", "string")
+    .add("metric_type", "string")
+    .add("prediction_date", "date")
+    .add("predicted_value", "double")
+    .add("actual_value", "double")
+    .add("absolute_error", "double")
+    .add("percentage_error", "double")
 )
 REGISTRY = {
     "model_performance": MODEL_PERFORMANCE,
