@@ -118,8 +118,8 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def sparklines(df: DataFrame, days: int = 30) -> DataFrame:
-    """Daily means of the last ``days`` dates."""
-    return daily_means(filters.trailing_days(df, days, inclusive=False), METRICS)
+    """Daily means of the last ``days`` dates; the latest date comes from the same daily table."""
+    return filters.trailing_days(daily_means(df, METRICS), days, inclusive=False)
 
 
 def time_series(

@@ -189,9 +189,9 @@ def capacity_status(df: DataFrame) -> DataFrame:
 
     The slope compares the means of the last and first seven days of the daily means.
     """
-    daily = group_means(df, ["resource_type", "date"], ["usage_cpu"])
-    trend = windows.recent_vs_first(daily, ["resource_type"], "usage_cpu")
-    peak = df.groupBy("resource_type").agg(F.max("usage_cpu").alias("max_cpu"))
+    daily = df.groupBy("resource_type", "date").agg(F.avg("usage_cpu").alias("usage_cpu"), F.max("usage_cpu").alias("max_cpu"))
+    trend = windows.recent_vs_first(daily.drop("max_cpu"), ["resource_type"], "usage_cpu")
+    peak = daily.groupBy("resource_type").agg(F.max("max_cpu").alias("max_cpu"))
     rising = (F.col("recent_avg") > F.col("first_avg")) & (F.col("first_avg") > 0)
     steep = (F.col("trend_rate") > 0.1) & (F.col("current") < 100)
     days_left = ratio(100 - F.col("current"), "trend_rate")
