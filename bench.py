@@ -20,8 +20,8 @@ a_1_region_daily a_4_kpis a_7_sparklines a_8_time_series a_11_regional_compariso
 a_19_holiday_calendar a_23_data_summary a_48_holiday_effect a_52_behaviour_intelligence a_58_multi_level_summary
 f_15_median_fill j_1_merge_external w_3_rolling_mean w_7_group_max_ratio w_16_iqr_anomalies w_17_peaks_valleys
 w_19_seasonal_decompose w_21_forward_fill s_1_corr_matrix s_2_corr_matrix_spearman s_12_kpss_test
-m_1_feature_frame_cpu m_10_baseline_forecast m_14_error_metrics m_20_select_best m_5_forecast_ar
-m_9_forecast_window g_4_upsert_best_model g_14_training_report mon_1_measured_accuracy c_8_capacity_plan
+m_1_feature_frame_cpu m_10_baseline_forecast m_14_error_metrics m_20_select_best m_3_fit_ar m_5_forecast_ar
+m_9_forecast_window m_6_fit_gbt m_17_backtest_rolling_origin m_18_cross_validate g_4_upsert_best_model g_14_training_report mon_1_measured_accuracy c_8_capacity_plan
 c_11_capacity_report st_1_stream_daily
 """.split()
 
