@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.linear import moment_matrices, recursive_path, solve_least_squares
+from tidemark.functions.linear import AR_STATE, ar_path, moment_matrices, solve_least_squares
 from tidemark.functions.moments import correlation_table
 from tidemark.functions.order_stats import distribution, percentiles, value_positions
 from tidemark.operators import statistics
@@ -161,15 +161,20 @@ def test_moments_solve_like_lstsq(spark):
         assert r.n == len(part)
 
 
-def test_recursive_path_levels():
+def test_recursive_path_levels(spark):
+    kinds = "coef array<double>, p int, d int, q int, recent array<double>, shocks array<double>, value double, slope double, steps int"
+
+    def path(*row):
+        return spark.createDataFrame([row], kinds).select(ar_path(*AR_STATE, F.col("steps"))).first()[0]
+
     # AR(1) with 0.5 on differences: 2 -> 1 -> 0.5 added to the level.
-    path = recursive_path([0.5], 1, 1, 0, [2.0], [0.0], 10.0, 2.0, 3)
-    assert path == pytest.approx([11.0, 11.5, 11.75])
-    assert recursive_path([3.0], 0, 0, 0, [1.0], [0.0], 9.0, 0.0, 2) == [3.0, 3.0]
+    assert path([0.5], 1, 1, 0, [2.0], [0.0], 10.0, 2.0, 3) == pytest.approx([11.0, 11.5, 11.75])
+    assert path([3.0], 0, 0, 0, [1.0], [0.0], 9.0, 0.0, 2) == [3.0, 3.0]
     # A residual enters only the first step of a moving average of order one.
-    assert recursive_path([0.0, 1.0], 0, 0, 1, [0.0], [4.0], 0.0, 0.0, 2) == [4.0, 0.0]
+    assert path([0.0, 1.0], 0, 0, 1, [0.0], [4.0], 0.0, 0.0, 2) == [4.0, 0.0]
     # Second differences of zero continue the slope.
-    assert recursive_path([], 0, 2, 0, [0.0], [0.0], 5.0, 2.0, 3) == [7.0, 9.0, 11.0]
+    assert path([], 0, 2, 0, [0.0], [0.0], 5.0, 2.0, 3) == [7.0, 9.0, 11.0]
+    assert path([3.0], 0, 0, 0, [1.0], [0.0], 9.0, 0.0, 0) == []
 
 
 def test_linear_trend_line(spark):
