@@ -156,6 +156,13 @@ def test_passages_against_brute_force(spark, monkeypatch, block_words):
     assert not decontamination.report(decontamination.find_passages(docs, benchmark.limit(0))).filter("contaminated").count()
 
 
+def test_runs_without_an_occurrence():
+    phrases = decontamination.Phrases([("1", [b"a", b"b", b"c"])], 10)
+    for text in ("a a a b b c c", "c b a", "x y z", "a b"):
+        numbers = np.array([phrases.numbers.get(w, 0) for w in decontamination.words_of(text)], np.int32)
+        assert [len(x) for x in decontamination.occurrences(numbers, phrases)] == [0, 0]
+
+
 def test_index_finds_what_a_scan_finds():
     rng = np.random.default_rng(4)
     for n in (1, 2, 7, 300):

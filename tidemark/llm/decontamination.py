@@ -173,6 +173,8 @@ def occurrences(numbers, phrases: Phrases):
     starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in distinct])])
     index = FMIndex(np.concatenate([np.append(r, 1) for r in distinct]), len(phrases.numbers) + 1)
     at, lo, hi = index.search(phrases.rows)
+    if not len(at):
+        return nothing
     count = hi - lo
     rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     phrase, where = np.repeat(at, count), index.locate(rows)
