@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +33,30 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
 
 
-def column_batches(batches: Iterator, size: int) -> Iterator:
-    """Record batches cut to at most ``size`` rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
+@cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker keeps it else, also while the next stage needs it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
 
+def text_batches(batches: Iterator, column: str, most_bytes: int = 8_000_000) -> Iterator:
+    """Record batches cut so that the texts of one take about ``most_bytes``; a longer text stands alone.
 
-def text_batches(batches: Iterator, column: str, most_bytes: int = 16_000_000) -> Iterator:
-    """Record batches cut so that the texts of one take about ``most_bytes``; a longer text stands alone."""
+    What a batch took is released before the next one.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
@@ -52,3 +68,4 @@ def text_batches(batches: Iterator, column: str, most_bytes: int = 16_000_000) -
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield batch.slice(lo, hi - lo)
+            release_memory()

@@ -32,7 +32,7 @@ LENGTH = 2048
 #: Rows of a record batch.
 BATCH_ROWS = 256
 #: Distinct pieces a task remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 CLOSING = ",.!?;:"
 
 _encoders: dict[str, Encoder] = {}
@@ -152,6 +152,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    """This worker's encoder, which keeps its pieces from task to task until the files are read."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -215,7 +216,7 @@ def write_tokens(
 
         own, out, docs_seen = encoder(tokenizer), None, 0
         index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_ids", pa.int64())])
-        for batch in text_batches(batches, "text", 8_000_000):
+        for batch in text_batches(batches, "text", 4_000_000):
             if out is None:
                 paths = [shared_files.new_name(folder, label, ".arrow") for label in ("ids", "index")]
                 out = _Sequences(paths[0], own.dtype, length, rows)
@@ -285,6 +286,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        _encoders.clear()  # the worker may go on to work that needs the memory
         types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
         names = [part.split()[0] for part in schema.split(", ")]
         for batch in batches:
