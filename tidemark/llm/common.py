@@ -33,6 +33,14 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df``; its session hands tasks at most ``rows`` texts at a time, which bounds both sides' buffers."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+    return df
+
+
 @cache
 def _libc():
     import ctypes

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import shared_files
-from .common import text_batches
+from .common import small_batches, text_batches
 
 WINDOW = 10
 #: Words of benchmark items searched at once, and bytes of text in a shard.
@@ -275,7 +275,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(find, FOUND)
+    return small_batches(rows).mapInArrow(find, FOUND)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -300,7 +300,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(clean, schema)
+    return small_batches(docs).mapInArrow(clean, schema)
 
 
 def report(found: DataFrame) -> DataFrame:

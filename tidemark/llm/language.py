@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 SAMPLE_CHARS, SAMPLE_DOCS, SEGMENT = 40_000, 200, 512
 #: More labels than this are an error: each has a table in every task.
@@ -213,4 +213,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(judge, "doc_id long, lang_pred string, score double")

@@ -22,7 +22,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 STATISTICS = (
     "words", "word_length", "word_length_spread", "longest_word", "upper", "digits", "sentence_ends", "commas", "marks",
@@ -120,7 +120,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, x array<double>")
+    return small_batches(rows).mapInArrow(compute, "doc_id long, x array<double>")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, score double")
+    return small_batches(rows).mapInArrow(compute, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,4 +201,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             scores = model.scores(table_of(batch.column("text").to_pylist()))
             yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import shared_files
-from .common import text_batches
+from .common import small_batches, text_batches
 
 MANIFEST = "shard int, ids_path string, index_path string, n_docs long, n_ids long"
 LENGTH = 2048
@@ -243,7 +243,7 @@ def write_tokens(
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = rows_in.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = small_batches(rows_in).repartitionByRange(*order).sortWithinPartitions(*order)
     return shared_files.committed(placed.mapInArrow(write, MANIFEST), folder)
 
 
