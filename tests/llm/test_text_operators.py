@@ -35,6 +35,23 @@ def test_ids_of_pieces_are_ids_of_whole_texts():
         assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_ids_of_white_space_beside_spaces():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    parts = [" ", " ", "\u00a0", "\n", "\t", "\r", "\v", "\x1c", "\x85", "\u2003", "\u3000", "\u200b", "a", "word", "9", ",", "x.", "'s", "é", "你"]
+    texts = ["price \u00a0 \u00a0 next", "a" + " \u00a0" * 8, " \u00a0" * 4 + "b", "x\u00a0 y", "z \u00a0 w", "a\n \nb", "c \u00a0q"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    tokenizer = token_files.Encoder(queries.public_tokenizer()).tokenizer
+    for step in (1, 7, 500, len(texts)):  # pieces meet different neighbours, and remembered ones
+        own = token_files.Encoder(queries.public_tokenizer())
+        for lo in range(0, len(texts) if step > 1 else 60, step):
+            ids, n = own.encode(pa.array(texts[lo : lo + step]))
+            expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + step]]
+            assert n.tolist() == [len(e) for e in expected]
+            assert ids.tolist() == [i for e in expected for i in e]
+
+
 def test_token_round_trip(spark, messy, tmp_path):
     texts, docs = messy
     tokenizer = queries.public_tokenizer()

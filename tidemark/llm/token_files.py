@@ -7,9 +7,10 @@ batch and row of any sequence are known by arithmetic, and a memory map serves i
 copy. A second Arrow file beside it names each document's offset and length.
 
 Encoding: the text is cut before every space that is followed by another character. A pre-token
-of a byte-level tokenizer never reaches across such a place, so each distinct piece is encoded
-once by the tokenizers library and remembered (a bounded memory that is emptied when full). Texts
-with runs of spaces, a trailing space or an added token's string are encoded whole.
+of a byte-level tokenizer reaches across such a place only inside a run of white space, where the
+space has white space on both sides. So each distinct piece is encoded once by the tokenizers
+library and remembered (a bounded memory that is emptied when full). Texts with runs of spaces, a
+space between other white space, a trailing space or an added token's string are encoded whole.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows of equal
 doc_id are ordered by their text's hash, and equal rows are interchangeable. An empty table has
@@ -34,6 +35,8 @@ BATCH_ROWS = 256
 #: Distinct pieces a task remembers.
 REMEMBERED = 300_000
 CLOSING = ",.!?;:"
+#: White space as the tokenizers library's pre-tokenizer has it.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -82,12 +85,16 @@ class Encoder:
 
         Closing punctuation behind a letter or digit is a pre-token of its own, so a piece
         that ends in it has the ids of the piece without it, then those of the punctuation.
+        Pieces that begin with white space could join the end of the piece before; they stand alone.
         """
         import numpy as np
 
         bare = {p: c for p in pieces if (c := p.rstrip(CLOSING)) != p and c and c[-1].isalnum()}
         fresh = dict.fromkeys(c for p in pieces if (c := bare.get(p, p)) not in self.places)
-        plain = list(fresh)
+        plain = [p for p in fresh if p[0] not in WHITE]
+        white = [p for p in fresh if p[0] in WHITE]
+        if white:
+            self.places.update(zip(white, self._append(self.whole([" " + p for p in white]))))
         for lo in range(0, len(plain), 20_000):
             part = plain[lo : lo + 20_000]
             ids = self.whole([" " + " ".join(part)])[0]
@@ -119,6 +126,7 @@ class Encoder:
         if len(self.places) + len(self.firsts) > REMEMBERED:
             self.forget()
         odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
+        odd = pc.or_(odd, pc.match_substring_regex(texts, f"[{WHITE}] [{WHITE}]"))
         for content in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, content))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if self.by_piece else np.arange(len(texts))
