@@ -166,6 +166,28 @@ def test_mix_of_messy_documents(spark):
     assert mixing.mix_report(spark, documents(spark, [])).count() == 0
 
 
+def test_mix_keeps_rows_of_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    rng = random.Random(11)
+    texts = [f"text {k} " + words(rng, rng.randrange(1, 40), 50) for k in range(300)] + ["the same words"] * 30
+    sources = [rng.choice(["a", "a", "B", None]) for _ in texts]
+    ids = [None if k % 5 == 0 else 7 if k % 5 == 1 else k for k in range(300)] + [None] * 15 + [8] * 15
+    docs = documents(spark, texts, sources, ids)
+    found = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mixed_documents(docs, mixing.shared_quotas()).collect()]
+    again = mixing.mixed_documents(docs.repartition(3), mixing.shared_quotas()).collect()
+    assert Counter(found) == Counter((r["doc_id"], r["text"], r["source"]) for r in again)
+    rows, uses = Counter(zip(ids, texts, sources)), Counter(found)
+    assert all(n <= 2 * rows[r] for r, n in uses.items())
+    size = lambda t: len(t.split())
+    sizes = {s: sum(size(t) for t, x in zip(texts, sources) if x == s) for s in set(sources)}
+    wanted = mixing.shared_quotas()(sizes)
+    for s, words_wanted in wanted.items():
+        assert abs(sum(size(t) for _, t, x in found if x == s) - words_wanted) <= 5
+    everything = mixing.mixed_documents(docs, lambda w: {s: Fraction(2 * n) for s, n in w.items()})
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in everything.collect()) == rows + rows
+
+
 def test_mix_of_overlapping_sources(spark):
     from pyspark.sql import functions as F
 

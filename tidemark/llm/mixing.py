@@ -11,7 +11,8 @@ a boundary cuts is filled greedily, document by document.
 Defined cases: null or empty texts have size 0 and are never taken; a null source (or member) is a
 source of its own, last in order; documents without any member are never taken; equal rows are
 documents each. Ties in the seeded order go by doc_id and size. An empty table gives no rows. Other
-columns of the input are ignored.
+columns of the input are ignored. ``mixed_documents`` gives each row a key, so rows with a null or repeated
+doc_id are documents each; rows without a doc_id are placed, and further ties broken, by the text's hash.
 """
 
 from __future__ import annotations
@@ -121,13 +122,15 @@ def intervals(size: int, shares: dict) -> list[tuple]:
     return found
 
 
-def sized(docs: DataFrame, members: str | None = None) -> DataFrame:
-    """doc_id, size in words, and the pattern (distinct members in order, null last) of each document."""
+def sized(docs: DataFrame, members: str | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, size in words, and the pattern (distinct members in order, null last) of each document; with
+    the column ``row`` of keys also the text's hash and the key."""
     pattern = F.array("source") if members is None else F.sort_array(F.array_distinct(members))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(ASCII_SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(pattern, F.array().cast("array<string>")).cast("array<string>").alias("pattern"),
+        *([F.xxhash64("text").alias("text_hash"), F.col(row).alias("row")] if row else []),
     )
 
 
@@ -162,11 +165,13 @@ def greedy(rows, parts: list[tuple]) -> list[list]:
 
 
 def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: int = SEED) -> tuple[DataFrame, dict]:
-    """(doc_id, size, pattern, takers: the source of every use) of each row of ``sized``, and the quotas.
+    """(doc_id, size, pattern, takers: the source of every use, and the key if it has one) of each row of
+    ``sized``, and the quotas.
 
     ``quotas`` turns the words of each source into the words wanted of it.
     """
     spark = rows.sparkSession
+    keys = [c for c in ("text_hash", "row") if c in rows.columns]
     rows = materialize(rows, "sizes")
     totals = pattern_totals(rows)
     words: dict = {}
@@ -182,7 +187,8 @@ def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: in
     ]
     plan = spark.createDataFrame(cuts, "pattern array<string>, buckets int, turn int, lo long, hi long, taker string")
 
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / float(1 << 53)
+    drawn = F.coalesce("doc_id", *keys[:1])
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn, "size"), 11) / float(1 << 53)
     kinds = plan.select("pattern", "buckets").distinct()
     # At most MOST_PATTERNS short rows; a shuffle by pattern would send a hot source to one task.
     dealt = rows.join(F.broadcast(kinds), "pattern", "left").withColumn("place", place)
@@ -204,22 +210,23 @@ def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: in
         F.transform(F.filter("parts", lambda x: ~is_whole(x)), lambda x: F.struct(x["turn"], x["taker"], x["part"])).alias("cut"),
     )
     joined = dealt.join(of_bucket, ["pattern", "bucket"], "left").select(
-        "doc_id", "size", "pattern", "bucket", "place",
+        "doc_id", "size", "pattern", *keys, "bucket", "place",
         F.when(F.col("size") > 0, F.coalesce("takers", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("takers"),
         F.when(F.col("size") > 0, F.col("cut")).alias("cut"),
     )
     is_cut = F.coalesce(F.size("cut") > 0, F.lit(False))
 
     def fill(pdf):
-        pdf = pdf.sort_values(["place", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["place", "doc_id", "size", *keys], kind="stable").reset_index(drop=True)
         parts = [(p["turn"], p["taker"], p["part"]) for p in pdf["cut"][0]]
         more = greedy(pdf["size"].tolist(), parts)
         pdf["takers"] = [list(a) + b for a, b in zip(pdf["takers"], more)]
-        return pdf[["doc_id", "size", "pattern", "takers"]]
+        return pdf[names]
 
-    schema = "doc_id long, size long, pattern array<string>, takers array<string>"
+    names = ["doc_id", "size", "pattern", "takers", *keys[1:]]
+    schema = "doc_id long, size long, pattern array<string>, takers array<string>" + ", row long" * bool(keys)
     filled = joined.filter(is_cut).groupBy("pattern", "bucket").applyInPandas(fill, schema)
-    return joined.filter(~is_cut).select("doc_id", "size", "pattern", "takers").union(filled), {"words": words, "wanted": wanted}
+    return joined.filter(~is_cut).select(*names).union(filled), {"words": words, "wanted": wanted}
 
 
 def shared_quotas(share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = (3, 1, 2), most: int = 2) -> Callable[[dict], dict]:
@@ -233,11 +240,12 @@ def shared_quotas(share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = (
 
 
 def mixed_documents(docs: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, whose doc_ids are distinct and not null, once for every use in the mix."""
-    taken, _ = mix(sized(docs), quotas, most, seed)
-    uses = taken.select(F.col("doc_id").alias("_mix_id"), F.size("takers").alias("_mix_uses")).filter("_mix_uses > 0")
-    rows = docs.join(uses, docs["doc_id"] == uses["_mix_id"]).withColumn("_mix_use", F.explode(F.sequence(F.lit(1), "_mix_uses")))
-    return rows.drop("_mix_id", "_mix_uses", "_mix_use")
+    """The rows of ``docs`` once for every use in the mix."""
+    docs = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    taken, _ = mix(sized(docs, row="_mix_row"), quotas, most, seed)
+    uses = taken.select(F.col("row").alias("_mix_id"), F.size("takers").alias("_mix_uses")).filter("_mix_uses > 0")
+    rows = docs.join(uses, docs["_mix_row"] == uses["_mix_id"]).withColumn("_mix_use", F.explode(F.sequence(F.lit(1), "_mix_uses")))
+    return rows.drop("_mix_row", "_mix_id", "_mix_uses", "_mix_use")
 
 
 def mix_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
