@@ -520,9 +520,9 @@ def train_all(region_daily: DataFrame, metric: str, grid=None) -> dict[str, obje
     }
 
 
-def future_metric(region_daily: DataFrame, metric: str, horizon: int = 30, grid=None) -> DataFrame:
-    """One long table: each region's forecast from its best model family."""
-    trained = train_all(region_daily, metric, grid)
+def future_metric(region_daily: DataFrame, metric: str, horizon: int = 30, grid=None, trained=None) -> DataFrame:
+    """One long table: each region's forecast from its best model family; ``trained`` is of ``train_all``."""
+    trained = trained or train_all(region_daily, metric, grid)
     best = evaluation.select_best(trained["scores"])
     paths = (
         forecast_ar(trained["series"], horizon, best=trained["ar"])

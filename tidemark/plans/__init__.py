@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     aggregate_queries,
     basics,
+    fitted_queries,
     insight_queries,
     model_queries,
     planning_queries,
