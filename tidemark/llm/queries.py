@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language, mixing, quality, secrets, token_files, url_filter, va_file, warc
+from . import (
+    decontamination, filter_audit, importance_resampling, jaccard_join, language, mixing, quality, secrets, sentencepieces, token_files,
+    url_filter, va_file, warc,
+)
 from .common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +27,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def public_tokenizer() -> str:
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query(
@@ -192,6 +195,101 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH w AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    d AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+               CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN min(w.doc_id) OVER (PARTITION BY t) < w.doc_id THEN 'E' ELSE '' END AS fails
+        FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    c AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM d GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (
+        SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM x v, x w, x, x y, x z
+        WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+    s AS (
+        SELECT filter_order, step, filter_order[step] AS f, '[' || filter_order[1:step - 1] || '0]' AS earlier
+        FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+    r AS (
+        SELECT part, filter_order, step, f, n, good, toxic, fails = f AS alone, contains(fails, f) AS failing,
+               regexp_matches(fails, earlier) AS gone FROM c, s),
+    g AS (
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, f,
+               CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost
+        FROM r GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+    """,
+)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return filter_audit.audit(docs, labels, filter_audit.text_rules(), copies="E", part=F.col("lang"))
+
+
+@query(
+    "op13_importance_resampling",
+    r"""
+    WITH RECURSIVE step AS (
+        SELECT 0 AS round, i, i AS c FROM (SELECT unnest(range(256)) AS i)
+        UNION ALL SELECT round + 1, i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE round < 8),
+    crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE round = 8),
+    both_ AS (
+        SELECT true AS own, doc_id, row_number() OVER () AS r, text FROM documents
+        UNION ALL SELECT false, NULL, row_number() OVER (), text FROM benchmark),
+    w AS (
+        SELECT own, doc_id, r, coalesce(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+        FROM both_),
+    f AS (SELECT own, r, f, count(*) AS n FROM (SELECT own, r, unnest(words) AS f FROM w) GROUP BY own, r, f),
+    b AS (
+        SELECT f, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || p AS BIGINT) for p in regexp_extract_all(hex(encode(f)), '..')]),
+                                  lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+        FROM (SELECT DISTINCT f FROM f), crc),
+    n AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+    a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+    g AS (
+        SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+        FROM n, a),
+    weights AS (SELECT r, sum(n * gain) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE own GROUP BY r),
+    d AS (
+        SELECT doc_id, r, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+               CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h
+        FROM w LEFT JOIN weights USING (r) WHERE own),
+    e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+    k AS (
+        SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS all_
+        FROM e WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * all_ // 100 THEN place END AS rank FROM e LEFT JOIN k USING (r)
+    """,
+)
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_sentencepieces")
+def op11_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = sentencepieces.round_trip(table(spark, folder, "documents"), public_tokenizer("piece_bpe_32k.model"))
+    return pieces.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
