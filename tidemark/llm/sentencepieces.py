@@ -122,19 +122,26 @@ class Normaliser:
         length = character_length(text, at)
         return (text[at : at + length], length) if length else (MALFORMED, 1)
 
-    def plain(self, text: bytes) -> tuple:
-        """Without a map and without spaces at the ends to add or strip."""
+    def bodies(self, texts: list[bytes]) -> tuple:
+        """``body`` of texts that begin with a space: (results, all their places in a row)."""
         import numpy as np
 
+        raw = b"".join(texts)
         try:
-            text.decode()
+            whole = not self.map.units and raw.decode()
         except UnicodeDecodeError:
-            return self.body(text)
-        of = np.frombuffer(text, np.uint8)
-        # Bytes that continue a character come from its beginning.
-        begin = np.maximum.accumulate(np.where(of & 0xC0 == 0x80, 0, np.arange(len(of))))
+            whole = False
+        if not whole:
+            found = [self.body(t) for t in texts]
+            return [t.decode() for t, _ in found], np.concatenate([a for _, a in found]) if found else np.zeros(0, int)
+        # Without a map only spaces change; bytes that continue a character come from its beginning.
+        of, sizes = np.frombuffer(raw, np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes) - sizes
+        begin = np.maximum.accumulate(np.where(of & 0xC0 == 0x80, 0, np.arange(len(of)))) - np.repeat(starts, sizes)
         wide = np.where(of == 32, len(self.space), 1)
-        return text.replace(b" ", self.space), np.append(np.repeat(begin, wide), len(text))
+        ends = np.cumsum(np.add.reduceat(wide, starts))
+        space = self.space.decode()
+        return [t.decode().replace(" ", space) for t in texts], np.insert(np.repeat(begin, wide), ends, sizes)
 
     def body(self, text: bytes) -> tuple:
         """The text's characters replaced, no space added or stripped."""
@@ -221,22 +228,27 @@ class Encoder:
         self.open = np.zeros(0, bool)  # whether a cut ends in a space
         self.values, self.starts = np.zeros((3, 0), np.int32), np.zeros(1, np.int64)
 
-    def spans(self, normal: list[tuple]) -> tuple:
-        """((ids, begins, ends) of all normalised texts in a row, number of ids of each)."""
+    def spans(self, texts: list[str], align) -> tuple:
+        """((ids, begins, ends) of all normalised texts in a row, number of ids of each).
+
+        ``align``: the texts' places in a row; each text has one more than it has bytes.
+        """
+        from itertools import chain
+
         import numpy as np
 
-        texts = [n.decode() for n, _ in normal]
         lists = self.merges.encode(texts, num_threads=1)
-        n = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter((i for x in lists for i in x), np.int32, n.sum())
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, n.sum())
         size = self.bytes_of[ids] if len(ids) else np.zeros(0, np.int64)
         for k in np.flatnonzero(np.add.reduceat(size == 0, (np.cumsum(n) - n)[n > 0]) > 0) if len(ids) else ():
             k = np.flatnonzero(n > 0)[k]  # unknown pieces are as long as their text
             at = n[:k].sum()
             size[at : at + n[k]] = [self.bytes_of[i] or len(p.encode()) for i, p in zip(lists[k], self.merges.encode(texts[k], out_type=str))]
-        # The alignments in a row; each has one place more than its text has bytes.
-        first = np.cumsum([0, *[len(a) for _, a in normal[:-1]]]) if normal else np.zeros(0, np.int64)
-        align = np.concatenate([a for _, a in normal]) if normal else np.zeros(0, np.int64)
+        # What precedes a text: its ids' bytes before, and one place more for each text before.
+        places = np.zeros(len(texts), np.int64)
+        places[n > 0] = np.add.reduceat(size, (np.cumsum(n) - n)[n > 0]) if len(ids) else 0
+        first = np.cumsum(places + 1) - places - 1
         end = np.cumsum(size)
         before = np.concatenate([[0], end])[np.cumsum(n) - n]
         end = end - np.repeat(before, n) + np.repeat(first, n)
@@ -246,12 +258,12 @@ class Encoder:
         """Remember the cuts, each behind a space; returns their places."""
         import numpy as np
 
-        normal = [(self.normaliser.body if self.normaliser.map.units else self.normaliser.plain)(b" " + c) for c in cuts]
-        values, n = self.spans(normal)
+        texts, align = self.normaliser.bodies([b" " + c for c in cuts])
+        values, n = self.spans(texts, align)
         at = len(self.starts) - 1
         self.values = np.concatenate([self.values, values], axis=1)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        self.open = np.concatenate([self.open, [t.endswith(SPACE) for t, _ in normal]]).astype(bool)
+        self.open = np.concatenate([self.open, [t.endswith("▁") for t in texts]]).astype(bool)
         return range(at, at + len(cuts))
 
     def encode(self, texts) -> tuple:
@@ -261,7 +273,8 @@ class Encoder:
         import pyarrow.compute as pc
 
         if not self.cuts:
-            return self.spans([self.normaliser.whole(t) for t in texts.to_pylist()])
+            found = [self.normaliser.whole(t) for t in texts.to_pylist()]
+            return self.spans([t.decode() for t, _ in found], np.concatenate([np.zeros(0, int), *[a for _, a in found]]))
         if len(self.places) > REMEMBERED or self.starts[-1] > REMEMBERED_IDS:
             self.forget()
         lists = pc.split_pattern(texts, b" ")
