@@ -216,16 +216,21 @@ def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: in
     )
     is_cut = F.coalesce(F.size("cut") > 0, F.lit(False))
 
-    def fill(pdf):
-        pdf = pdf.sort_values(["place", "doc_id", "size", *keys], kind="stable").reset_index(drop=True)
-        parts = [(p["turn"], p["taker"], p["part"]) for p in pdf["cut"][0]]
-        more = greedy(pdf["size"].tolist(), parts)
-        pdf["takers"] = [list(a) + b for a, b in zip(pdf["takers"], more)]
-        return pdf[names]
+    def fill(bucket):
+        import pyarrow as pa
+
+        # Python's integers: in pandas a null doc_id would turn the others into doubles.
+        found = bucket.to_pylist()
+        found.sort(key=lambda r: (r["place"], r["doc_id"] is None, r["doc_id"] or 0, r["size"], *[r[k] for k in keys]))
+        parts = [(p["turn"], p["taker"], p["part"]) for p in found[0]["cut"]]
+        for r, more in zip(found, greedy([r["size"] for r in found], parts)):
+            r["takers"] = r["takers"] + more
+        kinds = {"doc_id": pa.int64(), "size": pa.int64(), "pattern": pa.list_(pa.string()), "takers": pa.list_(pa.string()), "row": pa.int64()}
+        return pa.table({c: pa.array([r[c] for r in found], kinds[c]) for c in names})
 
     names = ["doc_id", "size", "pattern", "takers", *keys[1:]]
     schema = "doc_id long, size long, pattern array<string>, takers array<string>" + ", row long" * bool(keys)
-    filled = joined.filter(is_cut).groupBy("pattern", "bucket").applyInPandas(fill, schema)
+    filled = joined.filter(is_cut).groupBy("pattern", "bucket").applyInArrow(fill, schema)
     return joined.filter(~is_cut).select(*names).union(filled), {"words": words, "wanted": wanted}
 
 
