@@ -10,6 +10,10 @@ Copies of one vector share a score, and ties go to the smaller id, so a block ke
 distinct vector with its k + 1 smallest ids (one may be the query itself). No copy beyond these can
 be a result, and a vector held by a third of all rows costs one row a block.
 
+Scores are exact: where a bound on |q| |v| passes 2^62 the products are summed in Python's integers, and bounds
+carry the rounding error of doubles. A component whose floor has no place in 64 bits is an error that names its vector,
+as is a score of more than 38 digits.
+
 Defined cases: vectors that are null, empty, hold null or non-finite components, or lack an id take
 no part, and neither do vectors of another length than a query; equal rows count as one candidate;
 an empty table or no query gives no rows. Other columns are ignored.
@@ -26,14 +30,17 @@ from ..session import scratch_path
 from . import shared_files
 
 MANIFEST = "vectors_path string, cells_path string, dim int, n_vectors long"
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, vec_id long, score string"
 #: Distinct vectors of a block, queries of a group, and cells of a component.
 BLOCK, GROUP, CELLS = 32_768, 256, 256
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and floor(scale * x) of each component, for vectors that take part."""
-    parts = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    too_large = F.raise_error(F.concat(F.lit("a component is beyond 64 bits in vector "), F.col("vec_id").cast("string"))).cast("long")
+    # 2^63 is a double; the largest double below it is a whole number.
+    parts = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(too_large))
     sound = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
     )
@@ -50,8 +57,10 @@ def write_va_file(vectors: DataFrame, folder: str, k: int) -> DataFrame:
 
         exact = np.array(list(rows), dtype=f"V{8 * dim}").view(np.int64).reshape(-1, dim)
         low, high = exact.min(axis=0), exact.max(axis=0)
-        width = np.maximum(1, -(-(high - low + 1) // CELLS))
-        cells = ((exact - low) // width).astype(np.uint8)
+        # Differences as unsigned numbers: those of 64-bit numbers may pass 63 bits.
+        width = (high.view(np.uint64) - low.view(np.uint64)) // CELLS + 1
+        cells = ((exact.view(np.uint64) - low.view(np.uint64)) // width).astype(np.uint8)
+        width = width.astype(np.int64)
         paths = [shared_files.new_name(folder, label, ".arrow") for label in ("vectors", "cells")]
         meta = {"low": low.tobytes(), "width": width.tobytes()}
         tables = (
@@ -95,7 +104,7 @@ def write_va_file(vectors: DataFrame, folder: str, k: int) -> DataFrame:
 
 
 def _groups(folder: str, dim: int) -> Iterator[tuple]:
-    """(query ids, query matrix) of at most GROUP queries of one length, from the folder's files."""
+    """(query ids, matrix of whole numbers) of at most GROUP queries of one length, from the folder's files."""
     import numpy as np
     import pyarrow.dataset as ds
 
@@ -103,7 +112,7 @@ def _groups(folder: str, dim: int) -> Iterator[tuple]:
     data = ds.dataset(path, filesystem=store, format="parquet")
     for batch in data.to_batches(columns=["vec_id", "v"], filter=ds.field("dim") == dim, batch_size=GROUP):
         if batch.num_rows:
-            yield batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+            yield batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, dim)
 
 
 def _search(block: dict, queries: str, k: int) -> Iterator[list[tuple]]:
@@ -120,8 +129,11 @@ def _search(block: dict, queries: str, k: int) -> Iterator[list[tuple]]:
     exact = exact_file.read_all()
     vectors = exact.column("v").combine_chunks().values.to_numpy().reshape(-1, dim)
     ids = exact.column("ids").combine_chunks()
-    for query_ids, q in _groups(queries, dim):
-        slack = np.abs(q) @ ((width - 1) / 2) + 0.5
+    largest = np.maximum(np.abs(low.astype(np.float64)), np.abs(low + width.astype(np.float64) * CELLS))
+    for query_ids, whole_q in _groups(queries, dim):
+        q = whole_q.astype(np.float64)
+        reach = np.abs(q) @ largest
+        slack = np.abs(q) @ ((width - 1) / 2) + 0.5 + reach * (dim + 8) * 2.0**-52
         centre = q @ middle.T
         found = []
         for at, query_id in enumerate(query_ids.tolist()):
@@ -132,20 +144,24 @@ def _search(block: dict, queries: str, k: int) -> Iterator[list[tuple]]:
             near = np.flatnonzero(upper >= lower_kth)
             near = near[np.argsort(-upper[near], kind="stable")]
             best: list[tuple[int, int]] = []
-            whole = q[at].astype(np.int64)
+            fits = reach[at] < 2.0**62
+            whole = whole_q[at] if fits else whole_q[at].tolist()
             for row in near.tolist():
                 if len(best) >= k and upper[row] < -best[k - 1][0]:
                     break
-                score = int(vectors[row] @ whole)
+                score = int(vectors[row] @ whole) if fits else sum(a * b for a, b in zip(vectors[row].tolist(), whole))
                 best += [(-score, x) for x in ids[row].as_py() if x != query_id]
                 best.sort()
                 del best[k:]
-            found += [(query_id, x, -s) for s, x in best]
+            found += [(query_id, x, str(-s)) for s, x in best]
         yield found
 
 
 def top_k(manifest: DataFrame, queries: DataFrame, folder: str, k: int) -> DataFrame:
-    """The k best (score descending, then vec_id) of every query (vec_id, v) over all blocks, without itself."""
+    """The k best (score descending, then vec_id) of every query (vec_id, v) over all blocks, without itself.
+
+    ``score`` is a whole number of up to 38 digits.
+    """
     place = f"{folder}/queries"
     queries.withColumn("dim", F.size("v")).write.mode("overwrite").parquet(place)
 
@@ -156,9 +172,11 @@ def top_k(manifest: DataFrame, queries: DataFrame, folder: str, k: int) -> DataF
             for block in batch.to_pylist():
                 for found in _search(block, place, k):
                     columns = zip(*found) if found else ([], [], [])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                    kinds = pa.int64(), pa.int64(), pa.string()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score"])
 
     near = shared_files.one_task_each(manifest, "vectors_path").mapInArrow(search, RESULT)
+    near = near.withColumn("score", F.col("score").cast("decimal(38,0)"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     rows = near.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return rows.select("query_id", "rank", "vec_id", "score")
