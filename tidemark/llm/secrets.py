@@ -1,8 +1,11 @@
 """Secrets in texts: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more characters of keys (letters, digits, ``+ / _ -``) with a digit in it.
-Its features are length, shares and entropy of its characters, transitions between kinds of character,
-the share of it that words of the corpus cover, its document's path, and the words around it. A forest of
+A candidate is a run of 16 or more characters of keys (letters, digits, ``+ / _ -``) with a digit in it, with a
+known issuer's form, or of 20 or more letters that change case often; or a value of any characters that is
+assigned to a name for secrets. Patterns run once over a text and over each of its words, so time is linear in the
+length of a run. Its features are length, shares and entropy of its characters, transitions between kinds of character,
+the share of it that words of the corpus cover, its document's path, and the words around it, as flags for
+names and as hashed words. A forest of
 the labelled findings scores every candidate. Where no labels are given, findings that an issuer's format
 or an assignment to a name for secrets settles are positive, and numbers or candidates mostly made of
 words are negative; the rest stays unlabelled and only the forest judges it. All steps are DataFrame
@@ -24,9 +27,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import lower_ascii
 
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}|AKIA[A-Z]{16}"
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})$"
-SECRET_NAME = r"(?i)(password|passwd|pwd|secret|token|api.?key|credential|private.?key)\W*$"
+RUN = r"[A-Za-z0-9+/_-]{16,}+"
+FORM = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
+NAME = r"(?i)(?:password|passwd|pwd|secret|token|api.?key|credential|private.?key)"
+#: A name for secrets, at most a quote and a blank, then the assignment; the value may open with a quote.
+ASSIGNED = NAME + r"[\"']?\s?[=:]\s?[\"']?"
+#: Shortest value of an assignment that is a candidate whatever its characters.
+SHORTEST_VALUE = 6
+#: Hash buckets of neighbouring words.
+NEIGHBOURS = 24
+ISSUED = f"^({FORM})$"
+SECRET_NAME = NAME + r"\W*$"
 HARMLESS_NAME = r"(?i)(sha|md5|checksum|hash|commit|digest|uuid|version|build|id|order|invoice|card|phone|tel)\W*$"
 HARMLESS_PATH = r"(?i)(test|example|sample|fixture|doc)"
 #: A word of the corpus counts for coverage from this many occurrences on.
@@ -38,23 +49,47 @@ MOST_LABELLED = 200_000
 FEATURES = (
     "length", "digits", "upper", "lower", "entropy", "changes", "letter_digit", "case_changes", "coverage", "longest_word",
     "path_depth", "path_harmless", "path_kind", "secret_name", "harmless_name", "assigned", "quoted", "ends_line",
+    *[f"near_{k}" for k in range(NEIGHBOURS)],
 )
 
 
+def keys_in(word: Column) -> Column:
+    """Runs of a word that may be keys; a run without a digit by an issuer's form or by its changes of case."""
+    runs = F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
+    mixed = lambda r: (F.char_length(r) >= 20) & (F.regexp_count(r, F.lit("[a-z][A-Z]")) >= 3)
+    kept = F.filter(runs, lambda r: r.rlike("[0-9]") | mixed(r) | r.rlike(FORM))
+    formed = lambda r: F.when(r.rlike("[0-9]") | mixed(r), r).otherwise(F.regexp_extract(r, FORM, 0))
+    return F.transform(kept, formed)
+
+
+def value_in(word: Column, before: Column) -> Column:
+    """The value that a word assigns to a name for secrets, or that the words before it assign; else null."""
+    own = F.regexp_extract(word, ASSIGNED + r"(.++)", 1)
+    whole = F.when(F.concat_ws(" ", before, F.lit("")).rlike(ASSIGNED.removesuffix(r"[\"']?") + "$"), F.ltrim(F.lit("\"'"), word))
+    value = F.rtrim(F.lit("\"',;.)]}"), F.coalesce(F.nullif(own, F.lit("")), whole))
+    return F.when(F.char_length(value) >= SHORTEST_VALUE, value)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, place (word number), candidate, the words before and after it, and its document's path."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-    ).filter(F.col("text").rlike(CANDIDATE))
+    ).filter(F.col("text").rlike(f"{RUN}|{NAME}"))
     words = rows.select("doc_id", "path", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.get("w", k).rlike(CANDIDATE))
+    # A value stands in the word of its name or behind one that ends in an assignment.
+    behind = lambda k: F.get("w", k - 1).rlike("[=:]$")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.get("w", k).rlike(f"{RUN}|{ASSIGNED}") | F.coalesce(behind(k), F.lit(False)))
     near = F.transform(at, lambda k: F.struct(
         k.alias("place"), F.get("w", k).alias("word"), F.get("w", k + 1).alias("after"),
         F.concat_ws(" ", F.get("w", k - 2), F.get("w", k - 1)).alias("before"),
     ))
     found = words.select("doc_id", "path", F.explode(near).alias("x")).select("doc_id", "path", "x.*")
-    found = found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)))
+    value = value_in(F.col("word"), F.col("before"))
+    # A value that holds a key, or is one, is found once: as the key.
+    keys = F.col("keys")
+    both = F.when(value.isNotNull() & (F.size(keys) == 0), F.array(value)).otherwise(keys)
+    found = found.withColumn("keys", keys_in(F.col("word"))).withColumn("candidate", F.explode(both)).drop("keys")
     left = F.substr("word", F.lit(1), F.position("candidate", "word") - 1)
     return found.select(
         "doc_id", "place", "candidate", F.concat_ws(" ", "before", left).alias("before"),
@@ -103,7 +138,18 @@ def with_features(found: DataFrame, docs: DataFrame) -> DataFrame:
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": F.col("before").rlike(r"[\"']$").cast("double"),
         "ends_line": (F.col("after") == "").cast("double"),
-    })
+        "around": neighbours(F.concat_ws(" ", "before", "after")),
+    }).withColumns({f"near_{k}": F.element_at("around", k + 1) for k in range(NEIGHBOURS)}).drop("around")
+
+
+def neighbours(text: Column) -> Column:
+    """Number of the text's words of letters in each hash bucket."""
+    words = F.regexp_extract_all(lower_ascii(text), F.lit("[a-z]{2,}+"), F.lit(0))
+    return F.aggregate(
+        F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(NEIGHBOURS))),
+        F.array_repeat(F.lit(0.0), NEIGHBOURS),
+        lambda counts, b: F.transform(counts, lambda n, k: n + (k == b).cast("double")),
+    )
 
 
 def settled(rows: DataFrame) -> DataFrame:
