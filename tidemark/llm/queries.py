@@ -71,7 +71,8 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op9_va_file(spark: SparkSession, folder: str) -> DataFrame:
-    return va_file.search(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    found = va_file.search(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
 
 
 URL_RULES = [
@@ -108,7 +109,7 @@ URL_RULES = [
     pair AS (
         SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(
             translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)) AS dst FROM h),
+            '<a\s[^<>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)) AS dst FROM h),
     link AS (SELECT src, dst, count(*) AS pages FROM pair WHERE src <> '' AND src <> dst GROUP BY ALL),
     step AS (
         SELECT 'trust' AS kind, src AS host, dst AS next, 0.85 * pages / sum(pages) OVER (PARTITION BY src) AS share FROM link

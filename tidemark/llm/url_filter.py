@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, set_checkpoint_dir
 
 #: Host of an absolute or protocol-relative link of an anchor.
-LINK_HOST = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+LINK_HOST = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: So many scored hosts (some 100 bytes each) are sent to every task.
 BROADCAST_HOSTS = 200_000
 
