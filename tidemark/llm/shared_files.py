@@ -53,6 +53,14 @@ def committed(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.sparkSession.read.schema(manifest.schema).parquet(path)
 
 
+def dealt(pairs: DataFrame, *keys: str, most: int = 10_000) -> DataFrame:
+    """Written rows dealt out by a hash of their keys, about one a task (several beyond ``most`` rows).
+
+    A repeated task is given the same rows.
+    """
+    return pairs.repartition(max(1, min(most, pairs.count())), *keys)
+
+
 def one_task_each(manifest: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """The manifest dealt out so that tasks hold about one file each (several beyond ``most`` files)."""
     files = max(1, min(most, manifest.count()))
