@@ -65,8 +65,8 @@ def keys_in(word: Column) -> Column:
 def value_in(word: Column, before: Column) -> Column:
     """The value that a word assigns to a name for secrets, or that the words before it assign; else null."""
     own = F.regexp_extract(word, ASSIGNED + r"(.++)", 1)
-    whole = F.when(F.concat_ws(" ", before, F.lit("")).rlike(ASSIGNED.removesuffix(r"[\"']?") + "$"), F.ltrim(F.lit("\"'"), word))
-    value = F.rtrim(F.lit("\"',;.)]}"), F.coalesce(F.nullif(own, F.lit("")), whole))
+    whole = F.when(F.concat_ws(" ", before, F.lit("")).rlike(ASSIGNED.removesuffix(r"[\"']?") + "$"), F.ltrim(word, F.lit("\"'")))
+    value = F.rtrim(F.coalesce(F.nullif(own, F.lit("")), whole), F.lit("\"',;.)]}"))
     return F.when(F.char_length(value) >= SHORTEST_VALUE, value)
 
 
@@ -98,18 +98,28 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 
 def coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """candidate, and the shares of it that words of the corpus cover in all and at longest."""
-    parts = found.select("candidate").distinct().select(
-        "candidate", F.explode(F.regexp_extract_all(lower_ascii(F.col("candidate")), F.lit("[a-z]{3,}"), 0)).alias("part")
-    )
+    """candidate, and the shares of it that words of the corpus cover in all and at longest.
+
+    A long candidate has many parts, so they carry its key and length, not itself.
+    """
+    key = F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_key")
+    each = found.select("candidate").distinct().select("candidate", key)
+    parts = each.select(
+        "candidate_key", F.char_length("candidate").alias("size"),
+        F.explode(F.regexp_extract_all(lower_ascii(F.col("candidate")), F.lit("[a-z]{3,}+"), F.lit(0))).alias("part"),
+    )
+    parts = parts.groupBy("candidate_key", "size", "part").agg(F.count("*").alias("times"))
     wanted = materialize(parts.select("part").distinct(), "parts")
     if wanted.count() <= BROADCAST_PARTS:
         wanted = F.broadcast(wanted)
     tokens = docs.select(F.explode(F.split(lower_ascii(F.col("text").cast("string")), r"[\x20\x09-\x0D]+")).alias("t"))
-    plain = tokens.select(F.rtrim(F.lit(",.!?;:"), F.col("t")).alias("part"))
+    plain = tokens.select(F.rtrim(F.col("t"), F.lit(",.!?;:")).alias("part"))
     known = plain.join(wanted, "part").groupBy("part").count().filter(F.col("count") >= WORD_COUNT).select("part")
-    size = F.length("part") / F.length("candidate")
-    return parts.join(known, "part").groupBy("candidate").agg(F.sum(size).alias("coverage"), F.max(size).alias("longest_word"))
+    size = F.char_length("part") / F.col("size")
+    covered = parts.join(known, "part").groupBy("candidate_key").agg(
+        F.sum(size * F.col("times")).alias("coverage"), F.max(size).alias("longest_word")
+    )
+    return each.join(covered, "candidate_key").drop("candidate_key")
 
 
 def _count(kinds: Column, pattern: str) -> Column:
