@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digest
 from ..functions.columns import ratio
 from ..sources.schemas import METRIC_TYPES, MODEL_TYPES
 
@@ -117,20 +118,20 @@ def quarterly_scores(predictions: DataFrame) -> DataFrame:
 
 
 def monthly_checks(usage: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """Data check log: one check per month over all rows up to its end.
+    """Data check log: one check per month over all rows up to its end, with their content hash.
 
-    The running totals span one row per calendar month.
+    Each month is hashed once; the hash of all months so far is merged from theirs, and that
+    running merge spans one row per calendar month.
     """
-    months = usage.groupBy(F.last_day("date").alias("check_date")).agg(
-        F.count("*").alias("new_records"), F.sum("users_active").alias("users_sum")
-    )
+    hashed = digest.digest(usage, {"check_date": F.last_day("date")})
+    months = hashed.withColumn("new_records", F.col("data_size"))
     w = Window.orderBy("check_date")
-    size = F.sum("new_records").over(w)
-    growth = ratio(F.col("new_records") * 100, size - F.col("new_records"))
-    return months.select(
+    running = months.select("check_date", "new_records", *digest.combined(w))
+    growth = ratio(F.col("new_records") * 100, F.col("data_size") - F.col("new_records"))
+    return running.select(
         "check_date",
-        F.sum("users_sum").over(w).cast("string").alias("data_hash"),
-        size.alias("data_size"),
+        digest.named(running).alias("data_hash"),
+        "data_size",
         "new_records",
         F.coalesce(growth >= threshold, F.lit(True)).alias("training_triggered"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digest
 from ..functions.columns import ratio
 
 MODEL = ["region", "metric_type", "model_type"]
@@ -17,18 +18,14 @@ SERIES = ["region", "metric_type"]
 
 
 def data_fingerprint(df: DataFrame) -> DataFrame:
-    """Content hash and row count that do not depend on row order.
+    """Content hash over all columns, and row count, that do not depend on row order."""
+    return fingerprint_of(digest.digest(df))
 
-    The xor alone would cancel repeated rows, so the sum of the hashes joins it.
-    """
-    h = F.xxhash64(*sorted(df.columns))
-    return df.agg(
-        F.bit_xor(h).alias("hash_xor"),
-        F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"),
-        F.count("*").alias("data_size"),
-    ).select(
-        F.concat_ws(":", F.hex("hash_xor"), F.coalesce("hash_sum", F.lit("0"))).alias("data_hash"), "data_size"
-    )
+
+def fingerprint_of(digests: DataFrame) -> DataFrame:
+    """data_hash and data_size of the data whose parts have these digests."""
+    whole = digest.merged(digests)
+    return whole.select(digest.named(whole).alias("data_hash"), "data_size")
 
 
 def check_changes(

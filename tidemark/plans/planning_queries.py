@@ -8,6 +8,7 @@ from ..operators import capacity, evaluation, forecasting, joins, monitoring, ra
 from ..sources.schemas import METRIC_TYPES, MODEL_TYPES
 from .catalog import query
 from .basics import PREDICTIONS
+from .views import USAGE_HASH
 from .window_queries import TREND_SQL, full
 
 W = "WINDOW w AS (PARTITION BY region ORDER BY date)"
@@ -231,7 +232,12 @@ def _(t):
 # --- registry ---------------------------------------------------------------------
 
 
-@query("g_1_data_fingerprint", "data_hash data_size:i")
+FINGERPRINT = f"""SELECT CAST(count(*) AS VARCHAR) || ':' || CAST(CAST(sum(CAST(h AS HUGEINT)) AS HUGEINT) % 1152921504606846976 AS VARCHAR)
+       || ':' || CAST(bit_xor(h) AS VARCHAR) AS data_hash, count(*) AS data_size
+FROM (SELECT {USAGE_HASH} AS h FROM usage)"""
+
+
+@query("g_1_data_fingerprint", "data_hash data_size:i", FINGERPRINT)
 def _(t):
     return registry.data_fingerprint(t.usage)
 
@@ -243,15 +249,14 @@ def _(t):
        (m.data_size - p.data_size) / p.data_size * 100 AS percent_change, FALSE AS first_run,
        m.data_hash <> p.data_hash AS hash_changed,
        m.data_hash <> p.data_hash AND (m.data_size - p.data_size) / p.data_size * 100 >= 5 AS training_triggered
-FROM (SELECT * FROM monitoring ORDER BY check_date DESC LIMIT 1) m
-CROSS JOIN (SELECT * FROM monitoring WHERE check_date < DATE '2001-09-30' ORDER BY check_date DESC LIMIT 1) p""",
+FROM (""" + FINGERPRINT + """) m
+CROSS JOIN (SELECT * FROM monitoring ORDER BY check_date DESC LIMIT 1 OFFSET 1) p""",
 )
 def _(t):
-    now = t.usage.agg(
-        F.sum("users_active").cast("string").alias("data_hash"), F.count("*").alias("data_size")
-    )
-    known = t.monitoring.filter(F.col("check_date") < F.lit("2001-09-30").cast("date"))
-    return registry.check_changes(now, known)
+    """Everything known now against the last check before the newest month."""
+    log = t.monitoring
+    earlier = log.filter(F.col("check_date") < log.agg(F.max("check_date")).scalar())
+    return registry.check_changes(registry.data_fingerprint(t.usage), earlier)
 
 
 ACTIVE_SQL = """SELECT region, metric_type, model_type, rmse, mae, mape, training_date,

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import re
 
+from ..functions.digest import row_hash_sql
+
+USAGE_HASH = row_hash_sql(
+    {"date": "", "region": "", "resource_type": "", "usage_cpu": "double", "usage_storage": "double", "users_active": ""}
+)
+
 VIEWS: dict[str, str] = {
     "usage": """
 SELECT CAST(l.l_shipdate AS DATE) AS date, r.r_name AS region,
@@ -77,12 +83,15 @@ FROM (SELECT region, metric_type, model_type, sqrt(avg(absolute_error * absolute
              count(*) AS data_size
       FROM preds GROUP BY region, metric_type, model_type, CAST(date_trunc('quarter', prediction_date) AS DATE))""",
     "monitoring": """
-SELECT check_date, CAST(sum(users_sum) OVER (ORDER BY check_date) AS VARCHAR) AS data_hash,
+SELECT check_date, CAST(sum(new_records) OVER (ORDER BY check_date) AS VARCHAR) || ':' ||
+       CAST(sum(hash_sum) OVER (ORDER BY check_date) % 1152921504606846976 AS VARCHAR) || ':' ||
+       CAST(bit_xor(hash_xor) OVER (ORDER BY check_date) AS VARCHAR) AS data_hash,
        CAST(sum(new_records) OVER (ORDER BY check_date) AS BIGINT) AS data_size, new_records,
        CASE WHEN row_number() OVER (ORDER BY check_date) = 1 THEN TRUE
             ELSE new_records * 100.0 / (sum(new_records) OVER (ORDER BY check_date) - new_records) >= 5 END AS training_triggered
-FROM (SELECT last_day(date) AS check_date, count(*) AS new_records, CAST(sum(users_active) AS BIGINT) AS users_sum
-      FROM usage GROUP BY last_day(date))""",
+FROM (SELECT last_day(date) AS check_date, count(*) AS new_records, CAST(sum(CAST(h AS HUGEINT)) AS HUGEINT) AS hash_sum,
+             bit_xor(h) AS hash_xor
+      FROM (SELECT date, """ + USAGE_HASH + """ AS h FROM usage) GROUP BY last_day(date))""",
     "best_model": """
 SELECT region, metric_type, arg_min(model_type, struct_pack(r := round(rmse, 6), m := model_type)) AS model_type,
        min(rmse) AS rmse, arg_min(mae, struct_pack(r := round(rmse, 6), m := model_type)) AS mae,
