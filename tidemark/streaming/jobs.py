@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import digest
 from ..functions.columns import ladder, ratio
 
 EVENTS = T.StructType(
@@ -82,8 +83,10 @@ def run_batches(df: DataFrame, folder: str, handle: Callable[[DataFrame, int, st
 def run_updates(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Process everything available and return the newest row of each key, open windows included.
 
-    A batch writes its changed rows to a partition of its own and replaces it when repeated.
+    A batch writes its changed rows to a partition of its own and replaces it when repeated. Update mode needs no
+    watermark, and one would drop the rows of late files: a windowed stream runs in its form without.
     """
+    df = getattr(df, "without_watermark", df)
 
     def handle(batch: DataFrame, number: int, path: str) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -104,25 +107,39 @@ def _measures() -> list[Column]:
     ]
 
 
+def _windowed(events: DataFrame, watermark: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The windows of ``build`` over the stream with a watermark, and as ``without_watermark`` without one.
+
+    In append mode the watermark closes windows, and rows behind it are dropped: for input in order of time.
+    Without it nothing is dropped and the state holds a row per window and key. ``windows.run_windows`` does
+    both: it closes windows and keeps late rows.
+    """
+    timed = events.withColumn("ts", event_time())
+    closing = build(timed.withWatermark("ts", watermark))
+    closing.without_watermark = build(timed)
+    return closing
+
+
 def stream_daily(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Tumbling one-day aggregate per event type, emitted when the day is closed."""
-    return (
-        events.withColumn("ts", event_time())
-        .withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    columns = ["event_type", "events", "avg_value", "min_value", "max_value"]
+    return _windowed(
+        events,
+        watermark,
+        lambda timed: timed.groupBy(F.window("ts", "1 day").alias("w"), "event_type")
         .agg(*_measures())
-        .select(wall_date("w.start").alias("date"), "event_type", "events", "avg_value", "min_value", "max_value")
+        .select(wall_date("w.start").alias("date"), *columns),
     )
 
 
 def stream_rolling(events: DataFrame, days: int = 7, watermark: str = "1 day") -> DataFrame:
     """Sliding mean over ``days`` days, one window per day and event type."""
-    return (
-        events.withColumn("ts", event_time())
-        .withWatermark("ts", watermark)
-        .groupBy(F.window("ts", f"{days} days", "1 day").alias("w"), "event_type")
+    return _windowed(
+        events,
+        watermark,
+        lambda timed: timed.groupBy(F.window("ts", f"{days} days", "1 day").alias("w"), "event_type")
         .agg(F.count("*").alias("events"), F.avg("value").alias("avg_value"))
-        .select(wall_date("w.end").alias("window_end"), "event_type", "events", "avg_value")
+        .select(wall_date("w.end").alias("window_end"), "event_type", "events", "avg_value"),
     )
 
 
@@ -134,48 +151,62 @@ def daily_alerts(daily: DataFrame, high: float, low: float) -> DataFrame:
     )
 
 
-def daily_changes(daily: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """Per day: rows so far, new rows, and whether they grew by ``threshold`` percent; one row per date."""
-    days = daily.groupBy("date").agg(F.sum("events").alias("new_records"))
-    size = F.sum("new_records").over(Window.orderBy("date"))
-    growth = ratio(F.col("new_records") * 100, F.col("data_size") - F.col("new_records"))
-    return days.withColumn("data_size", size).select(
-        "date", "data_size", "new_records", F.coalesce(growth >= threshold, F.lit(True)).alias("training_triggered")
-    )
-
-
-MONITORING = "batch bigint, data_size bigint, new_records bigint, training_triggered boolean"
+MONITORING = f"batch bigint, data_hash string, {digest.PARTS_SCHEMA}, new_records bigint, training_triggered boolean"
 
 
 def change_monitor(threshold: float = 5.0) -> Callable[[DataFrame, int, str], None]:
-    """Batch handler that logs rows, growth since the last batch, and a training flag.
+    """Batch handler that logs the content hash, rows, growth since the last batch, and a training flag.
 
-    A batch writes its own partition and replaces it when repeated after a failure.
+    A batch reads its own rows and the newest log row, whose digest it extends. It writes its own partition and
+    replaces it when repeated after a failure. The first check trains; later ones if enough was added.
     """
 
     def handle(batch: DataFrame, number: int, path: str) -> None:
         spark = batch.sparkSession
-        before = 0
+        new = digest.digest(batch).first()
+        last = None
         if number > 0:
-            log = spark.read.schema(MONITORING).parquet(path)
-            before = log.filter(F.col("batch") < number).agg(F.max("data_size")).first()[0] or 0
-        added = batch.agg(F.count("*").alias("new_records"))
-        size = F.col("new_records") + before
-        growth = ratio(F.col("new_records") * 100, F.lit(before))
-        added.select(
-            size.alias("data_size"),
-            "new_records",
-            F.coalesce(growth >= threshold, F.lit(True)).alias("training_triggered"),
-        ).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            log = spark.read.schema(MONITORING).parquet(path).filter(F.col("batch") < number)
+            last = log.agg(F.max_by(F.struct(*digest.PARTS), "batch")).first()[0]
+        size, total, mixed = digest.extended(last, new)
+        grown = last is None or 100 * new.data_size >= threshold * last.data_size
+        row = (f"{size}:{total}:{mixed}", size, total, mixed, new.data_size, grown)
+        schema = T.StructType(T._parse_datatype_string(MONITORING).fields[1:])
+        spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return handle
 
 
 def stream_change_monitor(events: DataFrame, folder: str, threshold: float = 5.0) -> DataFrame:
+    """Process everything available and return one check per batch, as the data arrived."""
     path = run_batches(events, folder, change_monitor(threshold), "append")
     return events.sparkSession.read.schema(MONITORING).parquet(path)
 
 
+DIGESTS = f"batch bigint, date date, {digest.PARTS_SCHEMA}"
+
+
+def content_digests(batch: DataFrame, number: int, path: str) -> None:
+    """Batch handler that keeps the digest of each event date's new rows, in a partition of the batch's own."""
+    digest.digest(batch, {"date": F.col("ts").cast("date")}).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def stream_content_checks(events: DataFrame, folder: str, threshold: float = 5.0) -> DataFrame:
+    """Process everything available and return one check per event date, whatever the batches were.
+
+    The digests of the dates are merged in order; one row per date is ordered.
+    """
+    path = run_batches(events, folder, content_digests, "append")
+    parts = events.sparkSession.read.schema(DIGESTS).parquet(path).drop("batch")
+    days = digest.merged(parts, ["date"]).withColumn("new_records", F.col("data_size"))
+    running = days.select("date", "new_records", *digest.combined(Window.orderBy("date")))
+    growth = ratio(F.col("new_records") * 100, F.col("data_size") - F.col("new_records"))
+    return running.select(
+        "date", digest.named(running).alias("data_hash"), "data_size", "new_records",
+        F.coalesce(growth >= threshold, F.lit(True)).alias("training_triggered"),
+    )
+
+
 def last_state(events: DataFrame, keys: list[str]) -> DataFrame:
     """Latest value and running count, minimum and maximum per key.
 
