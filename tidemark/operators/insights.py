@@ -297,7 +297,7 @@ def seasonal_stats(pattern: DataFrame) -> DataFrame:
 def holiday_effect(df: DataFrame, metric: str, flag: str = "is_holiday", **sizes: int) -> DataFrame:
     """Quartiles, mean and row count per holiday flag, with the change against regular days."""
     named = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    out = distribution(df, [flag], [metric], named, **sizes).withColumnRenamed("count", "rows")
+    out = materialize(distribution(df, [flag], [metric], named, **sizes), "holiday-effect").withColumnRenamed("count", "rows")
     regular = out.agg(F.max(F.when(F.col(flag) == 0, F.col("mean")))).scalar()
     return out.withColumn("change_pct", ratio(F.col("mean") - regular, regular) * 100)
 
