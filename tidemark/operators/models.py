@@ -8,16 +8,13 @@ only solves the small normal equations.
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import AR_STATE, ar_path, moment_matrices, solve_least_squares
-from ..session import materialize
+from ..session import Kept, materialize, side_by_side
 from ..sources.schemas import METRIC_TYPES
 from . import evaluation, forecasting, statistics, windows
 from .filters import category_values
@@ -30,6 +27,8 @@ WINDOW_SIZES = [7, 14, 21]
 # Trees, depth and step size tried for the boosted models.
 TREE_GRID = [(50, 3, 0.01), (100, 3, 0.01), (50, 6, 0.01), (100, 6, 0.1)]
 LONG_ORDER = 10
+#: Training rows that a task of the tree models takes; each level of each tree is a job of so few tasks.
+TREE_ROWS = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -377,18 +376,19 @@ def fit_gbt(
     metric: str,
     grid: list[tuple[int, int, float]] | None = None,
     train: float = 0.8,
-    parallelism: int = 4,
 ) -> tuple[GBTRegressionModel, DataFrame, list[str]]:
     """Boosted trees over all regions; the grid point with the lowest test RMSE wins.
 
     Returns the model, its scores per region, and the regions behind its flags. Grid
-    points are independent Spark jobs and run side by side.
+    points are independent Spark jobs and run side by side. The rows are daily, so partitions are sized to
+    them: a job for every level of every tree costs its tasks' overhead more than their work.
     """
     regions = category_values(region_daily, "region")
     frame = forecasting.feature_frame(region_daily, metric)
     rows = materialize(windows.chronological_split(frame, ["region"], train), "tree-rows")
     data = _assembled(rows, metric, regions)
-    train_rows = data.filter(F.col("split") == "train").select("features", "target")
+    parts = max(1, -(-rows.count() // TREE_ROWS))
+    train_rows = data.filter(F.col("split") == "train").select("features", "target").coalesce(parts)
     test_rows = data.filter(F.col("split") == "test").select("region", "features", "target")
 
     def attempt(point: tuple[int, int, float]) -> tuple[float, GBTRegressionModel]:
@@ -399,8 +399,7 @@ def fit_gbt(
         diff = F.col("target") - F.col("prediction")
         return model.transform(test_rows).agg(F.avg(diff * diff)).first()[0], model
 
-    with ThreadPool(parallelism) as pool:
-        tried = pool.map(inheritable_thread_target(rows.sparkSession)(attempt), grid or TREE_GRID)
+    tried = side_by_side(rows.sparkSession, attempt, grid or TREE_GRID)
     model = min(tried, key=lambda pair: pair[0])[1]
     scored = model.transform(test_rows).withColumnsRenamed(
         {"target": "actual_value", "prediction": "predicted_value"}
@@ -409,6 +408,21 @@ def fit_gbt(
     return model, scores, regions
 
 
+def kept_gbt(region_daily: DataFrame, metric: str, kept: Kept, grid=None) -> tuple[GBTRegressionModel, DataFrame, list[str]]:
+    """What ``fit_gbt`` gives, from the kept model and scores if there are any."""
+    fitted: list = []
+
+    def fit() -> tuple:
+        if not fitted:
+            fitted.append(fit_gbt(region_daily, metric, grid))
+        return fitted[0]
+
+    path = kept.path(f"tree-{metric}", lambda path: fit()[0].write().save(path))
+    scores = kept.table(f"tree-scores-{metric}", lambda: fit()[1])
+    model = fitted[0][0] if fitted else GBTRegressionModel.load(path)
+    return model, scores, category_values(region_daily, "region")
+
+
 def feature_importance(model: GBTRegressionModel, metric: str, regions: list[str], spark) -> DataFrame:
     """(feature, importance) of a fitted tree model."""
     names = [*forecasting.feature_names(metric), *[f"region={r}" for r in regions]]
@@ -497,13 +511,17 @@ def forecast_gbt(
 # --- selection over the families ----------------------------------------------------------
 
 
-def train_all(region_daily: DataFrame, metric: str, grid=None) -> dict[str, object]:
-    """Train the three families for one metric; scores per region and family."""
+def train_all(region_daily: DataFrame, metric: str, grid=None, kept: Kept | None = None) -> dict[str, object]:
+    """Train the three families for one metric; scores per region and family.
+
+    With ``kept`` each family is trained once for the code and data that it names.
+    """
+    table = kept.table if kept else lambda label, build: materialize(build(), label)
     series = evaluation.long_series(region_daily).filter(F.col("metric_type") == metric)
     series = materialize(series, "series")
-    ar = materialize(best_ar(series), "ar-models")
-    window = materialize(fit_window_linear(series), "window-models")
-    tree, tree_scores, regions = fit_gbt(region_daily, metric, grid)
+    ar = table(f"ar-{metric}", lambda: best_ar(series))
+    window = table(f"window-{metric}", lambda: fit_window_linear(series))
+    tree, tree_scores, regions = kept_gbt(region_daily, metric, kept, grid) if kept else fit_gbt(region_daily, metric, grid)
     cols = ["region", "metric_type", "rmse", "mae", "mape"]
     scores = (
         ar.select(*cols, F.lit("ARIMA").alias("model_type"))

@@ -7,13 +7,13 @@ the best family of each region and metric gives the forecast. Iterative fits hav
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, models, registry
-from ..session import materialize
+from ..session import materialize, side_by_side
 from ..sources.schemas import METRIC_TYPES
 from ..sources.tables import Tables
 from . import planning_queries  # noqa: F401
@@ -29,34 +29,40 @@ FED = (
 
 
 class FittedTables(Tables):
-    """Tables whose forecasts and registry come from the fitted models, trained once."""
+    """Tables whose forecasts and registry come from the fitted models, trained and forecast once for the data."""
 
-    grid = None
-
-    @cached_property
-    def trained(self) -> dict[str, dict]:
-        return {metric: models.train_all(self.daily_series, metric, self.grid) for metric in METRIC_TYPES}
-
-    @cached_property
+    @property
     def fitted_forecast(self) -> DataFrame:
-        parts = [models.future_metric(self.daily_series, m, trained=trained) for m, trained in self.trained.items()]
+        return self.kept("fitted").table("forecast", self._forecast)
+
+    def _forecast(self) -> DataFrame:
+        self.daily_series  # written before threads ask for it
+        parts = side_by_side(self.spark, lambda m: models.future_metric(self.daily_series, m, trained=self.trained(m)), METRIC_TYPES)
         columns = ["region", "metric_type", "step", "date", "predicted"]
-        return materialize(reduce(DataFrame.unionByName, parts).select(*columns), "fitted-forecast")
+        return reduce(DataFrame.unionByName, parts).select(*columns)
 
-    @cached_property
+    @property
     def registry(self) -> DataFrame:
-        """The log of the baselines and, as its last session on the day after the data, the fitted models."""
+        return self.kept("fitted").table("registry", self._registry)
+
+    def _registry(self) -> DataFrame:
+        """The log of the baselines and, as its last session on the last day of the data, the fitted models.
+
+        The session's hash is the content hash of the series that the models learned.
+        """
+        self.daily_series  # written before threads ask for it
         log = materialize(evaluation.quarterly_scores(self.predictions), "model-performance")
-        scores = reduce(DataFrame.unionByName, [trained["scores"] for trained in self.trained.values()])
+        scores = reduce(DataFrame.unionByName, [t["scores"] for t in side_by_side(self.spark, self.trained, METRIC_TYPES)])
         best = evaluation.select_best(scores).select("region", "metric_type", F.col("model_type").alias("best"))
-        day, size = self.daily_series.agg(F.date_add(F.max("date"), 1), F.count("*")).first()
+        day = self.daily_series.agg(F.max("date")).first()[0]
+        content = registry.data_fingerprint(self.daily_series).first()
         known = ["region", "metric_type"]
         new = scores.join(best, known, "left").select(
             *known, "model_type", "rmse", "mae", "mape", F.lit(day).alias("training_date"),
-            F.lit(f"{size}:{day}").alias("data_hash"), F.lit(size).cast("long").alias("data_size"),
+            F.lit(content.data_hash).alias("data_hash"), F.lit(content.data_size).cast("long").alias("data_size"),
             F.coalesce(F.col("model_type") == F.col("best"), F.lit(False)).alias("is_active"),
         )
-        return materialize(registry.record_performance(log, new), "fitted-performance")
+        return registry.record_performance(log, new)
 
 
 def _fed(name: str) -> None:

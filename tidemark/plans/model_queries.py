@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, models
+from ..session import materialize, side_by_side
 from ..sources.schemas import METRIC_TYPES
 from .catalog import query
 
@@ -35,24 +36,31 @@ def _(t):
     return models.forecast_ar(series(t))
 
 
-def per_metric(build):
+def per_metric(t, build):
     """The rows of ``build(metric)`` of every metric."""
-    parts = [build(metric) for metric in METRIC_TYPES]
+    t.daily_series_mean  # written before threads ask for it
+    parts = side_by_side(t.spark, build, METRIC_TYPES)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def tree(t, metric):
+    """Model, scores and regions of the boosted trees of a metric, fitted once for the data."""
+    return models.kept_gbt(t.daily_series_mean, metric, t.kept("trained", "daily_series_mean"))
+
+
 @query("m_6_fit_gbt", "region metric_type rmse:f mae:f mape:f r2:f n:i")
 def _(t):
-    return per_metric(lambda metric: models.fit_gbt(t.daily_series_mean, metric)[1])
+    """Always fitted anew."""
+    return per_metric(t, lambda metric: materialize(models.fit_gbt(t.daily_series_mean, metric)[1], "tree-scores"))
 
 
 @query("m_7_forecast_gbt", FORECAST)
 def _(t):
     def forecast(metric):
-        model, _, regions = models.fit_gbt(t.daily_series_mean, metric)
+        model, _, regions = tree(t, metric)
         return models.forecast_gbt(t.daily_series_mean, model, metric, regions)
 
-    return per_metric(forecast)
+    return per_metric(t, forecast)
 
 
 @query("m_8_fit_window_linear", "region metric_type steps:i rmse:f mae:f mape:f")
@@ -80,27 +88,27 @@ def _(t):
 
 
 def importance(t, metric):
-    model, _, regions = models.fit_gbt(t.daily_series_mean, metric)
+    model, _, regions = tree(t, metric)
     return models.feature_importance(model, metric, regions, t.spark)
 
 
 @query("m_19_feature_importance", "metric_type feature importance:f")
 def _(t):
-    return per_metric(lambda metric: importance(t, metric).withColumn("metric_type", F.lit(metric)))
+    return per_metric(t, lambda metric: importance(t, metric).withColumn("metric_type", F.lit(metric)))
 
 
 @query("k_6_feature_importance_rank", "metric_type position:i feature importance:f")
 def _(t):
     return per_metric(
-        lambda metric: models.feature_importance_rank(importance(t, metric), 10).withColumn("metric_type", F.lit(metric))
+        t, lambda metric: models.feature_importance_rank(importance(t, metric), 10).withColumn("metric_type", F.lit(metric))
     )
 
 
 @query("m_20_select_best_fitted", "region metric_type model_type rmse:f mae:f mape:f")
 def _(t):
-    return per_metric(lambda metric: evaluation.select_best(models.train_all(t.daily_series_mean, metric)["scores"]))
+    return per_metric(t, lambda metric: evaluation.select_best(t.trained(metric, "daily_series_mean")["scores"]))
 
 
 @query("m_21_future_users", "region metric_type model_type step:i date predicted:f")
 def _(t):
-    return models.future_metric(t.daily_series, "users", 30)
+    return models.future_metric(t.daily_series, "users", 30, trained=t.trained("users"))

@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, evaluation, joins
-from ..session import materialize
+from ..operators import aggregates, evaluation, joins, models
+from ..session import Kept, materialize, once, stamp
 from . import readers
 
 
@@ -20,6 +20,9 @@ class Tables:
     operator that would otherwise scan the fact several times.
     """
 
+    #: Points of the tree models' grid, if not their own.
+    grid: list[tuple[int, int, float]] | None = None
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
@@ -111,6 +114,16 @@ class Tables:
     def daily_series_mean(self) -> DataFrame:
         return materialize(self.region_daily_mean, "region-daily-mean")
 
+    def kept(self, *name) -> Kept:
+        """Results kept for ``name``, the code, and the usage tables as they are."""
+        tables = [f"{self.folder}/{table}.parquet" for table in ("lineitem", "orders", "customer", "nation", "region")]
+        return Kept(self.spark, (*name, self.grid, stamp(self.spark, tables)))
+
+    def trained(self, metric: str, series: str = "daily_series") -> dict:
+        """The three model families of a metric, fitted once for the data."""
+        kept = self.kept("trained", series)
+        return once(self.spark, (kept.folder, metric), lambda: models.train_all(getattr(self, series), metric, self.grid, kept))
+
     @cached_property
     def daily(self) -> DataFrame:
         """Daily means of the five numeric columns over all regions."""
