@@ -9,7 +9,7 @@ copy. A second Arrow file beside it names each document's offset and length.
 Encoding: the text is cut before every space that is followed by another character. A pre-token
 of a byte-level tokenizer reaches across such a place only inside a run of white space, where the
 space has white space on both sides. So each distinct piece is encoded once by the tokenizers
-library and remembered (a bounded memory that is emptied when full). Texts with runs of spaces, a
+library and remembered (a bounded memory; when it is full, pieces that came again since the last time stay). Texts with runs of spaces, a
 space between other white space, a trailing space or an added token's string are encoded whole.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows of equal
@@ -19,6 +19,7 @@ no shard and no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,7 +35,8 @@ LENGTH = 2048
 BATCH_ROWS = 256
 #: Distinct pieces a task remembers.
 REMEMBERED = 300_000
-CLOSING = ",.!?;:"
+#: A word and what follows it in its piece: a byte-level pre-tokenizer always cuts between them.
+WORD_AND_REST = re.compile(r"([^\W_]+)([\W_].*)", re.DOTALL)
 #: White space as the tokenizers library's pre-tokenizer has it.
 WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -63,7 +65,21 @@ class Encoder:
         #: Place of each remembered piece (opened by a space) and of each text's first piece.
         self.places: dict[str, int] = {"": 0}  # stands first in a text only
         self.firsts: dict[str, int] = {}
+        self.rests: dict[str, object] = {}  # ids of what follows a word
         self.ids, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)  # whether a place's piece came again
+
+    def sweep(self) -> None:
+        """Keep the pieces that came again since the last sweep, at most half of what is remembered."""
+        import numpy as np
+
+        again = np.zeros(len(self.starts) - 1, bool)
+        again[: len(self.again)] = self.again
+        ids, starts = self.ids, self.starts
+        kept = [[(p, k) for p, k in known.items() if again[k]][-REMEMBERED // 4 :] for known in (self.places, self.firsts)]
+        self.forget()
+        for known, pieces in zip((self.places, self.firsts), kept):
+            known.update(zip([p for p, _ in pieces], self._append([ids[starts[k] : starts[k + 1]] for _, k in pieces])))
 
     def whole(self, texts: list[str]) -> list:
         import numpy as np
@@ -83,14 +99,13 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces as one text and cut its ids where an id opens with a space.
 
-        Closing punctuation behind a letter or digit is a pre-token of its own, so a piece
-        that ends in it has the ids of the piece without it, then those of the punctuation.
-        Pieces that begin with white space could join the end of the piece before; they stand alone.
+        A pre-token ends with the last letter or digit before any other character, so a piece of a word and more has the
+        ids of the word, then those of the rest. Pieces that begin with white space could join the end of the piece before; they stand alone.
         """
         import numpy as np
 
-        bare = {p: c for p in pieces if (c := p.rstrip(CLOSING)) != p and c and c[-1].isalnum()}
-        fresh = dict.fromkeys(c for p in pieces if (c := bare.get(p, p)) not in self.places)
+        bare = {p: m.groups() for p in pieces if (m := WORD_AND_REST.fullmatch(p))}
+        fresh = dict.fromkeys(c for p in pieces if (c := bare[p][0] if p in bare else p) not in self.places)
         plain = [p for p in fresh if p[0] not in WHITE]
         white = [p for p in fresh if p[0] in WHITE]
         if white:
@@ -105,12 +120,12 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.append(cuts[1:], len(ids)) + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
             self.places.update(zip(part, range(at, at + len(part))))
-        ends = list({p[len(c) :] for p, c in bare.items()})
-        tails = dict(zip(ends, self.whole(ends)))
+        new = list({rest for _, rest in bare.values() if rest not in self.rests})
+        self.rests.update(zip(new, self.whole(new)))
         lists = []
-        for p, c in bare.items():
-            k = self.places[c]
-            lists += [self.ids[self.starts[k] : self.starts[k + 1]], tails[p[len(c) :]]]
+        for word, rest in bare.values():
+            k = self.places[word]
+            lists += [self.ids[self.starts[k] : self.starts[k + 1]], self.rests[rest]]
         if lists:
             at = len(self.starts) - 1
             ends = self.starts[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)[1::2]
@@ -123,8 +138,9 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.places) + len(self.firsts) > REMEMBERED:
-            self.forget()
+        if len(self.places) + len(self.firsts) + len(self.rests) > REMEMBERED:
+            self.sweep()
+        known = len(self.starts) - 1
         odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
         odd = pc.or_(odd, pc.match_substring_regex(texts, f"[{WHITE}] [{WHITE}]"))
         for content in self.added:
@@ -145,6 +161,9 @@ class Encoder:
         if new := [h for h in dict.fromkeys(heads) if h not in self.firsts]:
             self.firsts.update(zip(new, self._append(self.whole(new))))
         of_piece = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.again) < len(self.starts) - 1:
+            self.again = np.append(self.again, np.zeros(len(self.starts) - 1 - len(self.again), bool))
+        self.again[of_piece[of_piece < known]] = True
         # This batch's own lists, an empty one and the odd texts, stand behind the remembered ones.
         kept = self.ids, self.starts
         own = self._append([np.zeros(0, self.dtype), *self.whole(texts.take(pa.array(odd)).to_pylist())])
