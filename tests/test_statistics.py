@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.linear import AR_STATE, ar_path, moment_matrices, solve_least_squares
 from tidemark.functions.moments import correlation_table
 from tidemark.functions.order_stats import distribution, percentiles, value_positions
-from tidemark.operators import statistics
+from tidemark.operators import stationarity, statistics
 
 DAY0 = datetime.date(2024, 1, 1)
 
@@ -147,6 +147,79 @@ def test_adf_statistic(spark):
     assert got["noise"].stationary and not got["walk"].stationary
 
 
+def ols(design, target):
+    coef, *_ = np.linalg.lstsq(design, target, rcond=None)
+    rss = ((target - design @ coef) ** 2).sum()
+    se = np.sqrt(rss / (len(target) - design.shape[1]) * np.diag(np.linalg.inv(design.T @ design)))
+    return coef, se, rss
+
+
+def adf_regression(x, lags, start):
+    """Regression over the differences from number ``start`` on."""
+    d = np.diff(x)
+    rows = np.arange(start, len(d))
+    return np.column_stack([x[rows], np.ones(len(rows)), *[d[rows - k] for k in range(1, lags + 1)]]), d[rows]
+
+
+def test_adf_chooses_its_lags(spark):
+    rng = np.random.default_rng(6)
+    kinds = {"walk": rng.normal(0.2, 1, 150).cumsum(), "noise": rng.normal(0, 1, 90), "short": rng.normal(0, 1, 12)}
+    x = np.zeros(200)
+    for i in range(3, 200):
+        x[i] = 0.5 * x[i - 1] + 0.3 * x[i - 3] + rng.normal()
+    kinds["slow"] = x
+    both = None
+    for name, values in kinds.items():
+        part = series(spark, values, name)
+        both = part if both is None else both.unionByName(part)
+    got = {r.region: r for r in stationarity.adf_auto(both, ["region"], "value").collect()}
+    for name, values in kinds.items():
+        n = len(values)
+        longest = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+        aic, rss_of = [], []
+        for lags in range(longest + 1):
+            design, target = adf_regression(values, lags, longest)
+            rss = ols(design, target)[2]
+            rss_of.append(rss)
+            aic.append(len(target) * math.log(rss / len(target)) + 2 * (lags + 2))
+        full, target = adf_regression(values, longest, longest)
+        z = np.column_stack([full, target])
+        assert stationarity.nested_rss(z.T @ z) == pytest.approx(rss_of, rel=1e-6)  # every number of lags
+        best = int(np.argmin(aic))
+        coef, se, _ = ols(*adf_regression(values, best, best))
+        assert (got[name].lags, got[name].n) == (best, n - 1 - best)
+        assert got[name].adf_statistic == pytest.approx(coef[0] / se[0], rel=1e-6)
+        assert got[name].p_value == pytest.approx(stationarity.surface_p(coef[0] / se[0]), rel=1e-6)
+    assert got["noise"].stationary and not got["walk"].stationary
+
+
+@pytest.mark.parametrize("t, p", [(-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (3.0, 1.0), (-20.0, 0.0)])
+def test_surface_of_critical_values(t, p):
+    assert stationarity.surface_p(t) == pytest.approx(p, abs=1.5e-3)
+
+
+def test_kpss_bandwidth(spark):
+    rng = np.random.default_rng(7)
+    kinds = {"walk": rng.normal(0, 1, 130).cumsum(), "noise": rng.normal(0, 1, 80), "constant": np.ones(30)}
+    both = None
+    for name, values in kinds.items():
+        part = series(spark, values, name)
+        both = part if both is None else both.unionByName(part)
+    got = {r.region: r for r in stationarity.kpss_auto(both, ["region"], "value").collect()}
+    for name in ("walk", "noise"):
+        e = kinds[name] - kinds[name].mean()
+        n = len(e)
+        s0, s1 = e @ e / n, 0.0
+        for k in range(1, int(n ** (2 / 9)) + 1):
+            s0, s1 = s0 + e[k:] @ e[:-k] / (n / 2), s1 + k * (e[k:] @ e[:-k]) / (n / 2)
+        lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+        lr = (e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))) / n
+        t = (e.cumsum() ** 2).sum() / n**2 / lr
+        assert got[name].lags == lags and got[name].kpss_statistic == pytest.approx(t)
+        assert got[name].p_value == pytest.approx(np.interp(t, *zip(*stationarity.LEVEL_TABLE)))
+    assert got["constant"].kpss_statistic is None and got["constant"].p_value is None
+
+
 def test_moments_solve_like_lstsq(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (500, 3))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, day_name, ladder, month_name, ratio
-from ..operators import evaluation, statistics
+from ..operators import evaluation, stationarity, statistics
 from ..operators.insights import size_scale
 from ..session import materialize
 from ..sources.schemas import METRICS, NUMERIC
@@ -86,6 +86,20 @@ def _(t):
     return statistics.corr_by(t.fact, "region")
 
 
+RANKED_BY_REGION = "SELECT region, " + ", ".join(
+    f"rank() OVER (PARTITION BY region ORDER BY {c}) + (count(*) OVER (PARTITION BY region, {c}) - 1) / 2 AS {c}" for c in NUMERIC
+) + " FROM fact WHERE economic_index IS NOT NULL"
+
+
+@query(
+    "s_4_corr_by_region_spearman",
+    "group " + CORR,
+    f"WITH ranked AS ({RANKED_BY_REGION})\n RETURN " + corr_long_sql("ranked", NUMERIC, "region"),
+)
+def _(t):
+    return statistics.corr_by(t.fact, "region", method="spearman")
+
+
 @query(
     "s_4_corr_by_resource",
     "group " + CORR,
@@ -200,6 +214,36 @@ def _(t):
     return statistics.kpss_test(t.region_daily, ["region"], "usage_cpu", KPSS_LAGS)
 
 
+@query("s_11_adf_auto", "region adf_statistic:f lags:i n:i p_value:f stationary")
+def _(t):
+    return stationarity.adf_auto(t.daily_series, ["region"], "usage_cpu")
+
+
+@query(
+    "s_12_kpss_auto",
+    "region kpss_statistic:f lags:i p_value:f stationary",
+    """WITH res AS (SELECT region, usage_cpu - avg(usage_cpu) OVER (PARTITION BY region) AS e,
+                    row_number() OVER (PARTITION BY region ORDER BY date) AS i FROM rd),
+sums AS (SELECT region, CAST(count(*) AS DOUBLE) AS n, sum(e * e) AS ee, sum(s * s) AS ss
+         FROM (SELECT *, sum(e) OVER (PARTITION BY region ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM res) GROUP BY region),
+pairs AS (SELECT a.region, a.i - b.i AS k, sum(a.e * b.e) AS p FROM res a JOIN res b ON a.region = b.region AND a.i > b.i GROUP BY ALL),
+first_ AS (SELECT region, sum(p) AS p, sum(k * p) AS kp FROM pairs JOIN sums USING (region)
+           WHERE k <= floor(pow(n, CAST(2 AS DOUBLE) / 9)) GROUP BY region),
+sized AS (SELECT *, least(floor(CAST(1.1447 AS DOUBLE) * pow(pow((kp / (n / 2)) / (ee / n + p / (n / 2)), 2) * n, CAST(1 AS DOUBLE) / 3)), n - 1) AS lags
+          FROM sums JOIN first_ USING (region)),
+stat AS (SELECT region, any_value(lags) AS lags,
+                any_value(ss / (n * n)) / ((any_value(ee) + 2 * coalesce(sum((1 - k / (lags + 1)) * pairs.p) FILTER (k <= lags), 0)) / any_value(n)) AS t
+         FROM sized JOIN pairs USING (region) GROUP BY region),
+valued AS (SELECT region, t AS kpss_statistic, lags, CAST(CASE WHEN t < 0.347 THEN 0.1
+             WHEN t < 0.463 THEN 0.1 + (t - 0.347) * (0.05 - 0.1) / (0.463 - 0.347)
+             WHEN t < 0.574 THEN 0.05 + (t - 0.463) * (0.025 - 0.05) / (0.574 - 0.463)
+             WHEN t < 0.739 THEN 0.025 + (t - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END AS DOUBLE) AS p_value FROM stat)
+ RETURN SELECT *, p_value > 0.05 AS stationary FROM valued""",
+)
+def _(t):
+    return stationarity.kpss_auto(t.daily_series, ["region"], "usage_cpu")
+
+
 @query(
     "s_13_minmax_scale",
     "region date usage_cpu:f usage_cpu_scaled:f inverse:f",
