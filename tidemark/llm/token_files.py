@@ -34,7 +34,7 @@ LENGTH = 2048
 #: Rows of a record batch.
 BATCH_ROWS = 256
 #: Distinct pieces a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: A word and what follows it in its piece: a byte-level pre-tokenizer always cuts between them.
 WORD_AND_REST = re.compile(r"([^\W_]+)([\W_].*)", re.DOTALL)
 #: White space as the tokenizers library's pre-tokenizer has it.
