@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.messy import documents
 from tests.llm.test_text_operators import brute_components, brute_hits
@@ -41,6 +43,17 @@ def test_empty_and_null_documents_pass(spark):
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_mix_of_a_written_table_is_the_mix_of_its_rows(spark):
+    docs = materialize(table(spark, FOLDER, "documents").withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))), "mix-test")
+    count = lambda df: sorted(map(str, df.groupBy("doc_id", "source", F.md5("text")).count().collect()))
+    kept = mixing.mixed_documents(docs, mixing.shared_quotas(), written=True)
+    assert kept.columns == docs.columns and kept.count() > docs.count()
+    assert count(kept) == count(mixing.mixed_documents(docs, mixing.shared_quotas(), written=True))
+    taken = {r["doc_id"]: r["n"] for r in kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    report = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix_report(spark, docs).collect() if r["doc_id"] is not None}
+    assert max(taken.values()) <= 2 and set(taken) <= set(report)
+
+
 def test_oracle_is_stated():
     assert corpus_pipeline.ORACLE_SQL is None
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near duplicates", "decontamination", "mixing", "token files"]

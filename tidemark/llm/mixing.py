@@ -11,7 +11,7 @@ a boundary cuts is filled greedily, document by document.
 Defined cases: null or empty texts have size 0 and are never taken; a null source (or member) is a
 source of its own, last in order; documents without any member are never taken; equal rows are
 documents each. Ties in the seeded order go by doc_id and size. An empty table gives no rows. Other
-columns of the input are ignored. ``mixed_documents`` gives each row a key, so rows with a null or repeated
+columns of the input are ignored. ``mixed_documents`` knows each row by a key of its own, so rows with a null or repeated
 doc_id are documents each; rows without a doc_id are placed, and further ties broken, by the text's hash.
 """
 
@@ -225,11 +225,11 @@ def mix(rows: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: in
         parts = [(p["turn"], p["taker"], p["part"]) for p in found[0]["cut"]]
         for r, more in zip(found, greedy([r["size"] for r in found], parts)):
             r["takers"] = r["takers"] + more
-        kinds = {"doc_id": pa.int64(), "size": pa.int64(), "pattern": pa.list_(pa.string()), "takers": pa.list_(pa.string()), "row": pa.int64()}
+        kinds = {"doc_id": pa.int64(), "size": pa.int64(), "pattern": pa.list_(pa.string()), "takers": pa.list_(pa.string()), "row": pa.string()}
         return pa.table({c: pa.array([r[c] for r in found], kinds[c]) for c in names})
 
     names = ["doc_id", "size", "pattern", "takers", *keys[1:]]
-    schema = "doc_id long, size long, pattern array<string>, takers array<string>" + ", row long" * bool(keys)
+    schema = "doc_id long, size long, pattern array<string>, takers array<string>" + ", row string" * bool(keys)
     filled = joined.filter(is_cut).groupBy("pattern", "bucket").applyInArrow(fill, schema)
     return joined.filter(~is_cut).select(*names).union(filled), {"words": words, "wanted": wanted}
 
@@ -244,9 +244,20 @@ def shared_quotas(share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = (
     return quotas
 
 
-def mixed_documents(docs: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` once for every use in the mix."""
-    docs = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+def with_row_key(docs: DataFrame, name: str, written: bool) -> DataFrame:
+    """``docs`` with a key of each row. The rows of a ``written`` table have one, their place in its files; others are
+    written with one, as a row number is not the same in every run of a plan."""
+    if not written:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "mix-rows")
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    return docs.select("*", place.alias(name))
+
+
+def mixed_documents(
+    docs: DataFrame, quotas: Callable[[dict], dict], most: int = 2, seed: int = SEED, written: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` once for every use in the mix; ``written``: ``docs`` is a Parquet table as it was read."""
+    docs = with_row_key(docs, "_mix_row", written)
     taken, _ = mix(sized(docs, row="_mix_row"), quotas, most, seed)
     uses = taken.select(F.col("row").alias("_mix_id"), F.size("takers").alias("_mix_uses")).filter("_mix_uses > 0")
     rows = docs.join(uses, docs["_mix_row"] == uses["_mix_id"]).withColumn("_mix_use", F.explode(F.sequence(F.lit(1), "_mix_uses")))
