@@ -33,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once for every use in the mix of their sources."""
-    return mixing.mixed_documents(docs, mixing.shared_quotas())
+    """Documents once for every use in the mix of their sources; rows are known by their place in the last stage's files."""
+    return mixing.mixed_documents(docs, mixing.shared_quotas(), written=True)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
