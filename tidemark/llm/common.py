@@ -60,14 +60,15 @@ def release_memory() -> None:
         _libc().malloc_trim(0)
 
 
-def text_batches(batches: Iterator, column: str, most_bytes: int = 8_000_000) -> Iterator:
+def text_batches(batches: Iterator, column: str, most_bytes: int = 8_000_000, release_every: int = 1) -> Iterator:
     """Record batches cut so that the texts of one take about ``most_bytes``; a longer text stands alone.
 
-    What a batch took is released before the next one.
+    What ``release_every`` batches took is released before the next one.
     """
     import numpy as np
     import pyarrow.compute as pc
 
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,4 +77,8 @@ def text_batches(batches: Iterator, column: str, most_bytes: int = 8_000_000) ->
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield batch.slice(lo, hi - lo)
-            release_memory()
+            done += 1
+            if done % release_every == 0:
+                release_memory()
+    if done % release_every:
+        release_memory()

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,19 +44,37 @@ WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u20
 _encoders: dict[str, Encoder] = {}
 
 
+@cache
+def byte_alphabet() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable ones as themselves, the others in order from U+0100 on; a
+    space, which opens a word here, stands behind a space."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    table = {b: chr(256 + k) for k, b in enumerate(others)}
+    return table | {32: " " + table[32]}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once."""
 
     def __init__(self, path: str):
         import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # ``Ġ`` is how byte-level vocabularies write a space; other kinds are encoded whole.
-        self.by_piece = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        cutter = self.tokenizer.pre_tokenizer
+        self.by_piece = (
+            type(cutter).__name__ == "ByteLevel" and cutter.use_regex and not cutter.add_prefix_space and self.tokenizer.normalizer is None
+        )
+        if self.by_piece:
+            # For words of letters, which are one pre-token each, cutting at spaces does and costs less.
+            self.letters = Tokenizer.from_file(path)
+            self.letters.pre_tokenizer = WhitespaceSplit()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.forget()
 
@@ -65,7 +84,7 @@ class Encoder:
         #: Place of each remembered piece (opened by a space) and of each text's first piece.
         self.places: dict[str, int] = {"": 0}  # stands first in a text only
         self.firsts: dict[str, int] = {}
-        self.rests: dict[str, object] = {}  # ids of what follows a word
+        self.rests: dict[str, int] = {}  # places of what follows a word
         self.ids, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
         self.again = np.zeros(0, bool)  # whether a place's piece came again
 
@@ -104,15 +123,24 @@ class Encoder:
         """
         import numpy as np
 
-        bare = {p: m.groups() for p in pieces if (m := WORD_AND_REST.fullmatch(p))}
-        fresh = dict.fromkeys(c for p in pieces if (c := bare[p][0] if p in bare else p) not in self.places)
-        plain = [p for p in fresh if p[0] not in WHITE]
-        white = [p for p in fresh if p[0] in WHITE]
+        words, mixed = [], []
+        for p in pieces:
+            (words if p.isalpha() else mixed).append(p)
+        bare = {p: m.groups() for p in mixed if (m := WORD_AND_REST.fullmatch(p))}
+        more = dict.fromkeys(c for p in mixed if (c := bare[p][0] if p in bare else p) not in self.places)
+        known = set(words)
+        words += [c for c in more if c.isalpha() and c not in known]
+        plain = [p for p in more if not p.isalpha() and p[0] not in WHITE]
+        white = [p for p in more if p[0] in WHITE]
         if white:
             self.places.update(zip(white, self._append(self.whole([" " + p for p in white]))))
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            ids = self.whole([" " + " ".join(part)])[0]
+        for part, of_letters in [(p[lo : lo + 20_000], p is words) for p in (words, plain) for lo in range(0, len(p), 20_000)]:
+            text = " " + " ".join(part)
+            if of_letters:
+                text = text.encode().decode("latin-1").translate(byte_alphabet())
+                ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            else:
+                ids = self.whole([text])[0]
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
                 raise AssertionError("pieces of a text met in one token")
@@ -121,16 +149,18 @@ class Encoder:
             self.ids = np.concatenate([self.ids, ids])
             self.places.update(zip(part, range(at, at + len(part))))
         new = list({rest for _, rest in bare.values() if rest not in self.rests})
-        self.rests.update(zip(new, self.whole(new)))
-        lists = []
-        for word, rest in bare.values():
-            k = self.places[word]
-            lists += [self.ids[self.starts[k] : self.starts[k + 1]], self.rests[rest]]
-        if lists:
-            at = len(self.starts) - 1
-            ends = self.starts[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)[1::2]
-            self.ids, self.starts = np.concatenate([self.ids, *lists]), np.concatenate([self.starts, ends])
-            self.places.update(zip(bare, range(at, at + len(bare))))
+        self.rests.update(zip(new, self._append(self.whole(new))))
+        if bare:
+            both = np.empty((len(bare), 2), np.int64)
+            both[:, 0] = np.fromiter((self.places[word] for word, _ in bare.values()), np.int64, len(bare))
+            both[:, 1] = np.fromiter((self.rests[rest] for _, rest in bare.values()), np.int64, len(bare))
+            n = (self.starts[1:] - self.starts[:-1])[both.ravel()]
+            ends = np.cumsum(n)
+            at = np.repeat(self.starts[both.ravel()] - (ends - n), n) + np.arange(ends[-1])
+            first = len(self.starts) - 1
+            self.starts = np.concatenate([self.starts, self.starts[-1] + ends[1::2]])
+            self.ids = np.concatenate([self.ids, self.ids[at]])
+            self.places.update(zip(bare, range(first, first + len(bare))))
 
     def encode(self, texts) -> tuple:
         """(ids of all texts in a row, number of ids of each) of a pyarrow string array without nulls."""
@@ -155,12 +185,16 @@ class Encoder:
             for k in odd:
                 rest[offsets[k] : offsets[k + 1]] = False
         coded = (words.filter(pa.array(rest)) if len(odd) else words).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        self._learn([p for p in pieces if p not in self.places])
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.places.get, pieces))
+        new = [k for k, place in enumerate(found) if place is None]
+        self._learn([pieces[k] for k in new])
+        for k in new:
+            found[k] = self.places[pieces[k]]
         heads = words.take(pa.array(offsets[:-1])).to_pylist()
         if new := [h for h in dict.fromkeys(heads) if h not in self.firsts]:
             self.firsts.update(zip(new, self._append(self.whole(new))))
-        of_piece = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        of_piece = np.fromiter(found, np.int64, len(pieces))
         if len(self.again) < len(self.starts) - 1:
             self.again = np.append(self.again, np.zeros(len(self.starts) - 1 - len(self.again), bool))
         self.again[of_piece[of_piece < known]] = True
@@ -243,7 +277,7 @@ def write_tokens(
 
         own, out, docs_seen = encoder(tokenizer), None, 0
         index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_ids", pa.int64())])
-        for batch in text_batches(batches, "text", 4_000_000):
+        for batch in text_batches(batches, "text", 4_000_000, release_every=8):
             if out is None:
                 paths = [shared_files.new_name(folder, label, ".arrow") for label in ("ids", "index")]
                 out = _Sequences(paths[0], own.dtype, length, rows)
