@@ -173,3 +173,37 @@ def test_a_factor_that_was_never_known_is_an_error(spark):
     never = whole.withColumn("economic_index", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="no economic_index is known for"):
         models.forecast_gbt(never, model, "cpu", regions, 2).collect()
+
+
+def test_grid_points_of_one_depth_and_step_are_one_fit(spark, monkeypatch):
+    rd, fits, fit = daily(spark), [], models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, rows: fits.append(self.getMaxIter()) or fit(self, rows))
+    apart = [models.fit_gbt(rd, "cpu", [point])[1].agg(F.sum("rmse")).first()[0] for point in ((3, 2, 0.1), (12, 2, 0.1))]
+    fits.clear()
+    model, scores, _ = models.fit_gbt(rd, "cpu", [(3, 2, 0.1), (12, 2, 0.1)])
+    assert fits == [12] and model.getNumTrees == 12
+    assert scores.agg(F.sum("rmse")).first()[0] == pytest.approx(apart[1]) and apart[1] < apart[0]
+
+
+def test_the_shorter_of_two_fits_may_win(spark):
+    rng = np.random.default_rng(3)
+    rd = daily(spark).drop("usage_cpu")
+    noise = spark.createDataFrame(
+        [(r, DAY0 + datetime.timedelta(days=i), float(v)) for r in ("A", "B") for i, v in enumerate(rng.normal(50, 9, 160))],
+        "region string, date date, usage_cpu double",
+    )
+    rd = rd.join(noise, ["region", "date"])
+    model, scores, _ = models.fit_gbt(rd, "cpu", [(1, 5, 1.0), (40, 5, 1.0)])
+    alone, want, _ = models.fit_gbt(rd, "cpu", [(1, 5, 1.0)])
+    assert model.getNumTrees == 1 and sorted(scores.collect()) == sorted(want.collect())
+    assert model.toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1]
+
+
+def test_families_train_and_forecast_side_by_side(spark, monkeypatch):
+    import threading
+
+    rd, meet = daily(spark), threading.Barrier(3, timeout=60)
+    for name in ("best_ar", "fit_window_linear", "fit_gbt", "forecast_ar", "forecast_window", "forecast_gbt"):
+        own = getattr(models, name)
+        monkeypatch.setattr(models, name, lambda *a, own=own, **k: meet.wait() is not None and own(*a, **k))
+    assert models.future_metric(rd, "cpu", 3, [(2, 2, 0.1)]).count() == 6
