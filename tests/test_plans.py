@@ -43,3 +43,14 @@ def test_plans_are_fed_by_the_chosen_fitted_models(spark):
     for r in rows["c_14_risk_matrix"]:
         assert r.cpu_model == chosen[r.region, "cpu"] and r.users_model == chosen[r.region, "users"]
     assert rows["c_3_demand_stats"]
+
+
+def test_fitted_queries_scan_the_fact_once_for_the_data(spark, monkeypatch):
+    from tidemark.plans.fitted_queries import FittedTables
+
+    first = FittedTables(spark, FOLDER)
+    want = sorted(first.daily_series.collect()), first.daily_series_mean.count()
+    monkeypatch.setattr(FittedTables, "region_daily", property(lambda t: pytest.fail("scanned again")))
+    monkeypatch.setattr(FittedTables, "region_daily_mean", property(lambda t: pytest.fail("scanned again")))
+    again = FittedTables(spark, FOLDER)
+    assert (sorted(again.daily_series.collect()), again.daily_series_mean.count()) == want
