@@ -154,6 +154,17 @@ def test_one_row_of_each_group_whatever_its_id(spark):
     assert twice == once + Counter(no_words)
 
 
+def test_texts_are_shuffled_only_for_repeated_rows(spark):
+    texts = [" ".join(f"{w}{i}" for w in "abcdefgh") for i in range(30)]
+    plain = documents(spark, [*texts, *texts[:5], None, ""])
+    plans = []
+    for docs in (plain, plain.union(plain.limit(3))):
+        kept = jaccard_join.one_of_each(docs)
+        assert sum(bool(r["text"]) for r in kept.collect()) == 30
+        plans.append(kept._jdf.queryExecution().optimizedPlan().toString())
+    assert "Aggregate" not in plans[0] and "Aggregate" in plans[1]
+
+
 def test_pairs_are_dealt_alike_when_a_stage_is_repeated(spark, tmp_path):
     pairs = [(f"block-{i}", f"block-{j}") for i in range(12) for j in range(i, 12)]
     spark.createDataFrame(pairs, "left string, right string").write.parquet(f"{tmp_path}/a")
